@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,21 +30,39 @@ def get_session(app: str = "quireflow", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared ``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared ``spark.checkpoint.dir``; a temporary folder only where none is set, on one machine (tests)."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quireflow-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        return shared
+    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quireflow-"))
+        return sc.getCheckpointDir()
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing ``df`` to the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: ``df`` written as a Parquet table to the shared folder and read back.
+
+    Every executor can read it, so losing one loses nothing. The table is deleted when the driver exits.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/quireflow-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _delete_written() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is gone already
+            return

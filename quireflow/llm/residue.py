@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .normalize import fold
 
 #: Documents that must share a line or a variable name before weak evidence counts.
@@ -188,7 +189,8 @@ def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text",
             out = [(k, h, *e) for k, h, t in zip(pdf["_k"], pdf["_h"], pdf["_t"]) for e in dict.fromkeys(evidence(t))]
             yield pd.DataFrame(out, columns=schema.names)
 
-    found = rows.select("_k", F.xxhash64("_t").alias("_h"), "_t").mapInPandas(run, schema).distinct()
+    # a few rows per document with residue; written once, for the four uses below
+    found = materialize(rows.select("_k", F.xxhash64("_t").alias("_h"), "_t").mapInPandas(run, schema).distinct())
     weak = found.where("not strong")
     # variable names that real slots of several documents retain
     names = (

@@ -76,7 +76,7 @@ def link_tables(entries: DataFrame, layouts: DataFrame) -> DataFrame:
 
 def link_figures(entries: DataFrame, figures: DataFrame) -> DataFrame:
     """(doc_id, layout_id, entry_index): per figure the first entry of its page whose body holds the caption key, else the page's first."""
-    body = caption_key(F.coalesce("body", "preview", F.lit("")))
+    body = caption_key(F.coalesce(*[c for c in ("body", "preview") if c in entries.columns], F.lit("")))
     e = entries.where("page_start is not null").select("doc_id", "entry_index", F.col("page_start").alias("_a"), F.coalesce("page_end", "page_start").alias("_b"), body.alias("_body"))
     e = e.where("_b >= _a").withColumn("page_number", F.explode(F.sequence("_a", "_b")))
     f = figures.select("doc_id", "page_number", "layout_id", caption_key(F.coalesce("caption", F.lit(""))).alias("k"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import text_queries
+from . import archive_queries, text_queries
 from .operators import nested, references
 from .sources.tables import table
 
@@ -48,11 +48,12 @@ def p5_tokens(spark: SparkSession, root: str) -> DataFrame:
 
 
 #: The query of the smoke check.
-FLAGSHIP = "p5_found"
+FLAGSHIP = "search_federated"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_cells": p5_cells, "p5_tokens": p5_tokens,
     **text_queries.QUERIES,
+    **archive_queries.QUERIES,
 }
 
 _REFS = """
@@ -93,4 +94,5 @@ WITH l AS (SELECT doc_id, layout_id, unnest(positioned_lines) AS r, unnest(range
 SELECT DISTINCT doc_id, layout_id, CAST(pos1 AS INTEGER) AS pos1, CAST(pos2 AS INTEGER) AS pos2, 'positioned_lines.tokens' AS path, v.x0, v.x1, v.text
   FROM (SELECT doc_id, layout_id, pos1, unnest(r.tokens) AS v, unnest(range(1, len(r.tokens) + 1)) AS pos2 FROM l) WHERE v IS NOT NULL""",
     **text_queries.ORACLES,
+    **archive_queries.ORACLES,
 }

@@ -16,6 +16,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Letters of other scripts and the Latin letter (or sign) they look like.
 LOOK_ALIKE = {
     # Cyrillic capitals
@@ -63,21 +65,31 @@ def _one_to_one() -> tuple[str, str]:
 
 
 @lru_cache(maxsize=1)
-def _compositions() -> list[tuple[str, str]]:
-    """(letter + combining mark, composed letter) for the Latin blocks, from Unicode's own data."""
-    pairs = []
+def _compositions() -> tuple[str, str]:
+    """Letter + combining mark pairs in one string, their composed letters in another, from Unicode's own data."""
+    pairs, composed = "", ""
     for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
         d = unicodedata.decomposition(chr(c)).split()
-        if len(d) == 2 and not d[0].startswith("<"):
-            pairs.append((chr(int(d[0], 16)) + chr(int(d[1], 16)), chr(c)))
-    return pairs
+        if len(d) == 2 and not d[0].startswith("<") and chr(int(d[0], 16)).isalpha():
+            pairs += chr(int(d[0], 16)) + chr(int(d[1], 16))
+            composed += chr(c)
+    return pairs, composed
 
 
 def _compose(c: Column) -> Column:
-    """Compose letter + mark; two passes, for letters with two marks. Only rows with a mark get here."""
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _compositions()])
-    once = lambda x: F.aggregate(pairs, x, lambda acc, p: F.replace(acc, p["a"], p["b"]))
-    return once(once(c))
+    """Compose letter + mark; two passes, for letters with two marks. Only rows with a mark get here.
+
+    No letter of the pairs is a mark, so a pair can only be found at an even place.
+    """
+    pairs, composed = _compositions()
+
+    def one(acc: Column, p: Column) -> Column:
+        at = F.instr(F.lit(pairs), p)
+        return F.when(at > 0, F.replace(acc, p, F.substring(F.lit(composed), ((at + 1) / 2).cast("int"), F.lit(1)))).otherwise(acc)
+
+    for _ in range(2):
+        c = F.aggregate(F.array_distinct(F.regexp_extract_all(c, F.lit("(\\p{L}[\\u0300-\\u036f])"), F.lit(1))), c, one)
+    return c
 
 
 def fold(text: Column) -> Column:
@@ -90,55 +102,78 @@ def fold(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), text).otherwise(wide)
 
 
-def look_key(text: Column) -> Column:
-    """``fold`` without regard to letter case and spacing, for comparisons of lines."""
-    f = F.lower(fold(text))
-    return F.trim(F.regexp_replace(f, "[\\s\\x00-\\x1f]+", " "))
+#: Up to so many 64-bit hashes are sent to all tasks; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def _small(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` written to the checkpoint folder and marked for broadcast if its counted size is small."""
+    df = materialize(df)
+    n = df.count()
+    return (F.broadcast(df) if n <= BROADCAST_ROWS else df), n
+
+
+def _hashed(records: DataFrame, text: str, *keep: Column) -> DataFrame:
+    """keep, t: the stored text; c1, c2: its look-alike form (128 bits); k: its ASCII letters and digits.
+
+    Two forms that are equal under the collation have one k: they can differ only in characters the collation
+    ignores and in how accents are composed.
+    """
+    d = records.where(F.col(text).isNotNull()).select(*keep, F.xxhash64(text).alias("t"), fold(F.col(text)).alias("_f"))
+    k = F.xxhash64(F.regexp_replace("_f", "[^A-Za-z0-9]+", "")).alias("k")
+    names = [c for c in d.columns if c != "_f"]
+    return materialize(d.select(*names, F.xxhash64("_f").alias("c1"), F.xxhash64(F.lit(1), "_f").alias("c2"), k).distinct())
+
+
+def _variants(records: DataFrame, hashed: DataFrame, text: str) -> DataFrame | None:
+    """(member, chosen): folded values that look like another one, with the smallest member of their class.
+
+    Values are grouped under the accent- and case-sensitive UNICODE collation; those that stand alone in their k
+    cannot have a partner and are not sent there. None if no value has a partner.
+    """
+    alone = hashed.groupBy("k").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("k")
+    several, n = _small(alone)
+    if not n:
+        return None
+    folded = records.where(F.col(text).isNotNull()).select(fold(F.col(text)).alias("member"))
+    folded = folded.withColumn("k", F.xxhash64(F.regexp_replace("member", "[^A-Za-z0-9]+", ""))).join(several, "k", "left_semi")
+    members = materialize(folded.select("member").distinct().select("member", F.expr("member COLLATE UNICODE").alias("look")))
+    classes = members.groupBy("look").agg(F.min("member").alias("chosen"), F.count("*").alias("n")).where("n > 1")
+    mapping, n = _small(members.join(classes, "look").select("member", "chosen"))
+    return mapping if n else None
 
 
 def canonical_forms(records: DataFrame, text: str = "text") -> DataFrame:
     """``records`` with ``canonical``: equal for two texts exactly if they look the same.
 
-    Look-alike-mapped values are grouped under the accent- and case-sensitive UNICODE collation; the
-    smallest member (by code points) of a class stands for it and is joined back. A class whose members
-    are already one string needs no join, so only the rare others travel. Null gives null, '' gives ''.
-    Rows, repeated ones too, and all other columns are kept.
+    Look-alike-mapped values are grouped under the accent- and case-sensitive UNICODE collation; the smallest
+    member (by code points) of a class stands for it and is joined back. Null gives null, '' gives ''. Rows,
+    repeated ones too, and all other columns are kept.
     """
-    base = records.withColumn("_fold", fold(F.col(text)))
-    with_hash = base.withColumn("_fh", F.xxhash64("_fold"))
-    several = (
-        with_hash.where(F.col("_fold").isNotNull())
-        .select(F.expr("_fold COLLATE UNICODE").alias("look"), "_fh")
-        .groupBy("look")
-        .agg(F.min("_fh").alias("lo"), F.max("_fh").alias("hi"))
-        .where("lo <> hi")
-        .select("look")
-    )
-    members = (
-        base.where(F.col("_fold").isNotNull())
-        .select(F.expr("_fold COLLATE UNICODE").alias("look"), F.col("_fold").alias("member"))
-        .join(several, "look", "left_semi")
-        .groupBy("look", "member")
-        .count()
-    )
-    chosen = members.groupBy("look").agg(F.min("member").alias("chosen"))
-    mapping = members.join(chosen, "look").select(F.xxhash64("member").alias("_fh"), F.col("member").alias("_member"), "chosen")
-    out = with_hash.join(mapping, (with_hash["_fh"] == mapping["_fh"]) & (with_hash["_fold"] == mapping["_member"]), "left")
-    return out.select(*[records[c] for c in records.columns], F.coalesce("chosen", "_fold").alias("canonical"))
-
-
-def look_alike_pairs(canonical: DataFrame, field: str, key: str, text: str) -> DataFrame:
-    """(field, key_a, key_b), key_a < key_b: records whose texts differ as strings but share ``canonical``.
-
-    Only classes with two different texts travel, as hashes; the hash of a class is 128 bits wide. Null or
-    empty texts and null keys give no pair; repeated rows count once.
+    value = F.col(text)
+    hashed = _hashed(records, text)
+    mapping = _variants(records, hashed, text)
+    base = records.withColumn("_fold", fold(value))
+    if mapping is None:
+        return base.withColumnRenamed("_fold", "canonical")
+    out = base.join(mapping, base["_fold"] == mapping["member"], "left")
+    return out.select(*[base[c] for c in records.columns], F.coalesce("chosen", "_fold").alias("canonical"))
+
+
+def look_alike_pairs(records: DataFrame, field: str = "field", key: str = "key", text: str = "text") -> DataFrame:
+    """(field, key_a, key_b), key_a < key_b: records of one field whose texts differ as strings but look the same.
+
+    Equality is that of ``canonical_forms``. Only classes with two different texts travel, as hashes; the hash of
+    a class is 128 bits wide. Null or empty texts and null keys give no pair; repeated rows count once.
     """
-    rows = canonical.where(F.col(key).isNotNull() & (F.col(text) != "")).select(
-        F.col(field).alias("field"), F.col(key).alias("key"), F.xxhash64("canonical").alias("c1"),
-        F.xxhash64(F.lit(1), "canonical").alias("c2"), F.xxhash64(text).alias("t"),
-    )
-    mixed = rows.groupBy("field", "c1", "c2").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    kept = rows.join(mixed, ["field", "c1", "c2"], "left_semi").distinct()
+    rows = records.where(F.col(key).isNotNull() & (F.col(text) != ""))
+    hashed = _hashed(rows, text, F.col(field).alias("field"), F.col(key).alias("key"))
+    mapping = _variants(rows, hashed, text)
+    if mapping is not None:
+        to = mapping.select(F.xxhash64("member").alias("c1"), F.xxhash64("chosen").alias("d1"), F.xxhash64(F.lit(1), "chosen").alias("d2"))
+        hashed = hashed.join(to, "c1", "left").select("field", "key", "t", F.coalesce("d1", "c1").alias("c1"), F.coalesce("d2", "c2").alias("c2"))
+    mixed = hashed.groupBy("field", "c1", "c2").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    kept = hashed.join(mixed, ["field", "c1", "c2"], "left_semi")
     a = kept.select("field", "c1", "c2", F.col("key").alias("key_a"), F.col("t").alias("ta"))
     b = kept.select("field", "c1", "c2", F.col("key").alias("key_b"), F.col("t").alias("tb"))
     return a.join(b, ["field", "c1", "c2"]).where("key_a < key_b and ta <> tb").select("field", "key_a", "key_b").distinct()

@@ -38,7 +38,7 @@ def _texts(spark: SparkSession, root: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of records of one table whose texts differ in characters but not in looks."""
-    return normalize.look_alike_pairs(normalize.canonical_forms(_texts(spark, root)), "field", "key", "text")
+    return normalize.look_alike_pairs(_texts(spark, root))
 
 
 def p2_canonical(spark: SparkSession, root: str) -> DataFrame:

@@ -57,19 +57,18 @@ def p3_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split.split_oversized(table(spark, root, "chunks"))
 
 
-def _without_furniture(spark: SparkSession, root: str) -> DataFrame:
-    chunks = table(spark, root, "chunks").select("chunk_id", "doc_id", "chunk_index", "text").distinct()
-    return repeated_lines.remove_repeated_lines(chunks)
-
-
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """Chunks whose index entry says prose or table although the text, furniture aside, is not."""
-    scored = quality.text_quality(_without_furniture(spark, root), table(spark, root, "common_words"), ("doc_id", "chunk_index"))
-    marks = table(spark, root, "structural_index").select("doc_id", "chunk_index", "content_type", "layout_hint").distinct()
-    wrong = (
-        (F.col("content_type") == "prose") & (F.coalesce("layout_hint", F.lit("")) == "") & ~F.col("is_prose")
-    ) | ((F.col("content_type") == "table") & F.col("is_prose"))
-    return scored.select("doc_id", "chunk_index", "is_prose").join(marks, ["doc_id", "chunk_index"]).where(wrong).select("doc_id", "chunk_index").distinct()
+    at = ["doc_id", "chunk_index"]
+    chunks = table(spark, root, "chunks").select(*at, "text")
+    plain = (F.col("content_type") == "prose") & (F.coalesce("layout_hint", F.lit("")) == "")
+    marks = table(spark, root, "structural_index").where(plain | (F.col("content_type") == "table")).select(*at, (F.col("content_type") == "table").alias("as_table")).distinct()
+    marked = chunks.join(marks, at)
+    texts = repeated_lines.remove_repeated_lines(chunks, only=marked)
+    common = table(spark, root, "common_words")
+    model = quality.fit_line_model(chunks, quality.common_set(common), F.concat_ws(":", *at), "text")
+    scored = quality.text_quality(texts, common, (*at, "as_table"), model=model)
+    return scored.where(F.col("as_table") == F.col("is_prose")).select(*at).distinct()
 
 
 def p6_statistics(spark: SparkSession, root: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,42 +127,24 @@ def recover_packed_rows(layouts: DataFrame) -> DataFrame:
     holds its middle. Any ambiguity rejects the whole table; one without an expanded row has no result.
     """
 
-    def run(pdf_iter):
-        import re
-
-        number = re.compile(NUMERIC.removeprefix("(?i)"), re.I)
-        for pdf in pdf_iter:
-            out = []
-            for r in pdf.itertuples(index=False):
-                grid, expanded = [], False
-                for boxes, lines, cells in zip(r.boxes, r.lines, r.cells):
-                    if boxes is None or len(boxes) < PACKED_COLUMNS or any(b is None for b in boxes):
-                        grid = None
-                        break
-                    if len(lines) < PACKED_LINES:
-                        grid.append(list(cells))
-                        continue
-                    for line in lines:
-                        row: list[str | None] = [None] * len(boxes)
-                        for t in line:
-                            mid = (t["x0"] + t["x1"]) / 2
-                            at = [i for i, b in enumerate(boxes) if b["x0"] <= mid < b["x1"]]
-                            if len(at) != 1 or row[at[0]] is not None or not number.match(t["text"]):
-                                row = []
-                                break
-                            row[at[0]] = t["text"]
-                        if not row or None in row:
-                            grid = None
-                            break
-                        grid.append(row)
-                    if grid is None:
-                        break
-                    expanded = True
-                if grid and expanded:
-                    out.append((r.doc_id, r.layout_id, grid))
-            yield pd.DataFrame(out, columns=["doc_id", "layout_id", "grid"])
-
-    return layouts.select("doc_id", "layout_id", "boxes", "lines", "cells").mapInPandas(run, "doc_id string, layout_id string, grid array<array<string>>")
+    mid = lambda t: (t["x0"] + t["x1"]) / 2
+    inside = lambda t, b: (mid(t) >= b["x0"]) & (mid(t) < b["x1"])
+
+    def clear(line: Column, boxes: Column) -> Column:
+        """Every token is numeric and in one column, every column holds one token."""
+        tokens = F.forall(line, lambda t: t["text"].rlike(NUMERIC) & (F.size(F.filter(boxes, lambda b: inside(t, b))) == 1))
+        return tokens & F.forall(boxes, lambda b: F.size(F.filter(line, lambda t: inside(t, b))) == 1)
+
+    def values(line: Column, boxes: Column) -> Column:
+        return F.transform(boxes, lambda b: F.get(F.filter(line, lambda t: inside(t, b)), F.lit(0))["text"])
+
+    sound = lambda z: z["boxes"].isNotNull() & (F.size(z["boxes"]) >= PACKED_COLUMNS) & ~F.exists(z["boxes"], lambda b: b.isNull())
+    packed = lambda z: F.size(z["lines"]) >= PACKED_LINES
+    good = lambda z: sound(z) & (~packed(z) | F.forall(z["lines"], lambda x: clear(x, z["boxes"])))
+    rows = lambda z: F.when(packed(z), F.transform(z["lines"], lambda x: values(x, z["boxes"]))).otherwise(F.array(z["cells"]))
+    d = layouts.select("doc_id", "layout_id", F.arrays_zip("boxes", "lines", "cells").alias("_z"))
+    d = d.where(F.forall("_z", good) & F.exists("_z", packed))
+    return d.select("doc_id", "layout_id", F.flatten(F.transform("_z", rows)).alias("grid"))
 
 
 def expand_page_spec(spec: str) -> list[int]:

@@ -18,7 +18,11 @@ _LIST = {"tags": ("tag", "tags"), "aliases": ("alias", "aliases")}
 def scan_notes(spark: SparkSession, root: str) -> DataFrame:
     """Notes below ``root`` in the archive's note schema. ``id`` counts from 0 in order of the relative path."""
     base = "file:" + os.path.abspath(root) if "://" not in root and not root.startswith("file:") else root
-    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
+    hidden = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base.rstrip("/") + "/_*")
+    found = hidden.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hidden)
+    # Spark's listing skips names with a leading underscore unless they are named as roots
+    roots = [root, *[str(x.getPath()) for x in found if x.isDirectory()]]
+    raw = spark.read.text(roots, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
     tail = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^" + re.escape(base.rstrip("/")).replace("file:", "file:/*") + "/", "")
     d = parse_notes(raw.withColumn("relative_path", F.regexp_replace(tail, "^file:/*" + re.escape(os.path.abspath(root).lstrip("/")) + "/", "")))
     return d.withColumn("id", F.row_number().over(Window.orderBy("relative_path")).cast("long") - 1)

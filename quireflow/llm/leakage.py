@@ -21,7 +21,7 @@ from ..session import materialize
 from .normalize import fold
 
 #: Words of a seed; words of a passage that counts; a seed is rare in at most this share (and at least RARE_DOCS) of documents.
-SEED_WORDS, PASSAGE_WORDS, RARE_SHARE, RARE_DOCS = 5, 15, 0.002, 20
+SEED_WORDS, PASSAGE_WORDS, RARE_SHARE, RARE_DOCS = 5, 15, 0.0003, 20
 #: Smith-Waterman scores by word, and the least score of an edited copy by the item's best possible one.
 MATCH, MISMATCH, GAP, EDITED_SHARE = 2, -1, -1, 0.5
 #: Items are held by every task; larger sets are an error here and must come in blocks of items.
@@ -32,9 +32,12 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 
 def word_form(text: Column) -> Column:
     """Lower-case words with single blanks: no punctuation, look-alikes folded, words broken over line ends joined."""
-    t = F.when(F.length(text) == F.octet_length(text), text).otherwise(fold(F.regexp_replace(text, "\\u00ad[ \\t]*\\r?\\n[> \\t]*", "")))
-    t = F.regexp_replace(F.lower(t), "(?<=\\p{L})-[ \\t]*\\r?\\n[> \\t]*(?=\\p{L})", "")
-    return F.trim(F.regexp_replace(t, "[^\\p{L}\\p{N}\\p{M}]+", " "))
+    plain = F.length(text) == F.octet_length(text)
+    soft = F.when(F.contains(text, F.lit("\u00ad")), F.regexp_replace(text, "\\u00ad[ \\t]*\\r?\\n[> \\t]*", "")).otherwise(text)
+    t = F.lower(F.when(plain, text).otherwise(fold(soft)))
+    broken = t.rlike("-[ \\t]*\\r?\\n")
+    t = F.when(broken, F.regexp_replace(t, "(?<=\\p{L})-[ \\t]*\\r?\\n[> \\t]*(?=\\p{L})", "")).otherwise(t)
+    return F.trim(F.when(plain, F.regexp_replace(t, "[^a-z0-9]+", " ")).otherwise(F.regexp_replace(t, "[^\\p{L}\\p{N}\\p{M}]+", " ")))
 
 
 def _grams(ids: np.ndarray, n: int) -> np.ndarray:
@@ -97,52 +100,82 @@ class Items:
             out.update((int(g), item) for g in grams.view(np.int64)[keep])
         return sorted(out)
 
-    def align(self, item: int, form: str) -> tuple[int, int, int, bool]:
-        """(score, first and last word of the best local alignment in the text, an exact passage is there)."""
-        words = form.split()
+    def align(self, item: int, forms: list[str]) -> list[tuple[int, int, int, bool]]:
+        """(score, first and last word of the best local alignment, an exact passage is there) for each text."""
         get = self.vocabulary.get
-        score, first, last = smith_waterman(np.array([get(w, 0) for w in words], dtype=np.int64), self.words[item].astype(np.int64))
+        words = [f.split() for f in forms]
+        ids = [np.array([get(w, 0) for w in ws], dtype=np.int32) for ws in words]
+        return [(*x, self._whole(item, ws)) for x, ws in zip(smith_waterman_many(ids, self.words[item].astype(np.int32)), words)]
+
+    def _whole(self, item: int, words: list[str]) -> bool:
+        """Some passage of the item stands in the text, from the start of a word to the end of one."""
         squeezed = "".join(words)
-        starts = set(np.concatenate([[0], np.cumsum([len(w) for w in words])]).tolist())
+        edges: set[int] | None = None
         for x in self.exact[item]:
             at = squeezed.find(x)
             while at >= 0:
-                if at in starts and at + len(x) in starts:
-                    return score, first, last, True
+                if edges is None:
+                    edges = {0, *np.cumsum([len(w) for w in words]).tolist()}
+                if at in edges and at + len(x) in edges:
+                    return True
                 at = squeezed.find(x, at + 1)
-        return score, first, last, False
+        return False
+
+
+#: Cells of one block of texts that are aligned together.
+BLOCK_CELLS = 400_000
+
+
+def smith_waterman_many(docs: list[np.ndarray], item: np.ndarray) -> list[tuple[int, int, int]]:
+    """``smith_waterman`` of one item against many texts: texts of similar length advance together, padded."""
+    out: list[tuple[int, int, int]] = [(0, 0, -1)] * len(docs)
+    order = sorted((i for i in range(len(docs)) if len(docs[i])), key=lambda i: len(docs[i]))
+    while order:
+        width = len(docs[order[-1]])
+        rows = [order.pop() for _ in range(min(len(order), max(1, BLOCK_CELLS // width)))]
+        block = np.full((len(rows), width), -1, dtype=np.int32)
+        for k, i in enumerate(rows):
+            block[k, : len(docs[i])] = docs[i]
+        for i, x in zip(rows, _align_block(block, item)):
+            out[i] = x
+    return out
+
+
+def _align_block(block: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int]]:
+    m, n = block.shape
+    pos = np.arange(n + 1, dtype=np.int32)
+    h = np.zeros((m, n + 1), dtype=np.int32)
+    origin = np.broadcast_to(pos, h.shape).copy()
+    best, first, last = np.zeros(m, np.int32), np.zeros(m, np.int32), np.full(m, -1, np.int32)
+    rows = np.arange(m)
+    for w in item:
+        diag = h[:, :-1] + np.where(block == w, np.int32(MATCH), np.int32(MISMATCH))
+        up = h[:, 1:] + np.int32(GAP)
+        new = np.zeros_like(h)
+        begin = np.broadcast_to(pos, h.shape).copy()
+        np.maximum(diag, up, out=new[:, 1:])
+        alive = new[:, 1:] > 0
+        begin[:, 1:] = np.where(alive, np.where(diag >= up, origin[:, :-1], origin[:, 1:]), pos[1:])
+        np.maximum(new, 0, out=new)
+        run = new - np.int32(GAP) * pos  # gaps in the item: the best of all positions to the left
+        top = np.maximum.accumulate(run, axis=1)
+        gapped = top + np.int32(GAP) * pos
+        better = gapped > new
+        if better.any():
+            source = np.maximum.accumulate(np.where(run == top, pos, 0), axis=1)
+            begin = np.where(better, np.take_along_axis(begin, source, 1), begin)
+            new = np.where(better, gapped, new)
+        h, origin = new, begin
+        k = h.argmax(1)
+        s = h[rows, k]
+        gain = s > best
+        best[gain], first[gain], last[gain] = s[gain], origin[rows, k][gain], k[gain] - 1
+    return list(zip(best.tolist(), first.tolist(), last.tolist()))
 
 
 def smith_waterman(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment score and its first and last position in ``doc``; one vector step per item word."""
-    n = len(doc)
-    if not n or not len(item):
-        return 0, 0, -1
-    pos = np.arange(n + 1)
-    h = np.zeros(n + 1, dtype=np.int64)
-    origin = pos.copy()
-    best, first, last = 0, 0, -1
-    for w in item:
-        diag = h[:-1] + np.where(doc == w, MATCH, MISMATCH)
-        up = h[1:] + GAP
-        new = np.zeros(n + 1, dtype=np.int64)
-        begin = pos.copy()
-        take = diag >= up
-        new[1:] = np.where(take, diag, up)
-        begin[1:] = np.where(take, origin[:-1], origin[1:])
-        begin[new <= 0] = pos[new <= 0]
-        new = np.maximum(new, 0)
-        run = new - GAP * pos  # gaps in the item: the best of all positions to the left
-        top = np.maximum.accumulate(run)
-        source = np.maximum.accumulate(np.where(run == top, pos, 0))
-        gapped = top + GAP * pos
-        better = gapped > new
-        h = np.where(better, gapped, new)
-        origin = np.where(better, begin[source], begin)
-        k = int(h.argmax())
-        if h[k] > best:
-            best, first, last = int(h[k]), int(origin[k]), k - 1
-    return best, first, last
+    """Best local alignment score and its first and last position in ``doc``."""
+    return smith_waterman_many([doc], item)[0]
 
 
 def load_items(items: DataFrame, key: str = "item_id", text: str = "text", n: int = SEED_WORDS, passage: int = PASSAGE_WORDS) -> Items:
@@ -173,12 +206,10 @@ def find_leaks(
     ifields = {f.name: f for f in items.schema.fields}
     docs = documents.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
     hit_type = T.StructType([T.StructField("_doc", fields[key].dataType), T.StructField("gram", T.LongType())])
-    bc = documents.sparkSession.sparkContext.broadcast(held)
 
     def seek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        it = bc.value
         for pdf in batches:
-            found = [it.hits(t) for t in pdf["_form"]]
+            found = [held.hits(t) for t in pdf["_form"]]
             yield pd.DataFrame({"_doc": np.repeat(pdf["_doc"].to_numpy(), [len(x) for x in found]), "gram": np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)})
 
     forms = docs.select("_doc", word_form(F.col("_text")).alias("_form"))
@@ -196,13 +227,16 @@ def find_leaks(
     )
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        it = bc.value
         for pdf in batches:
-            rows = []
-            for d, its, form in zip(pdf["_doc"], pdf["_items"], pdf["_form"]):
+            rows, by_item = [], {}
+            for k, its in enumerate(pdf["_items"]):
                 for i in its:
-                    s, a, b, exact = it.align(i, form)
-                    rows.append((d, i, s, s / (MATCH * len(it.words[i])), a, b, exact))
+                    by_item.setdefault(i, []).append(k)
+            docs, forms = pdf["_doc"].tolist(), pdf["_form"].tolist()
+            for i, at in sorted(by_item.items()):
+                most = MATCH * len(held.words[i])
+                for k, (s, a, b, exact) in zip(at, held.align(i, [forms[k] for k in at])):
+                    rows.append((docs[k], i, s, s / most, a, b, exact))
             yield pd.DataFrame(rows, columns=out.names)
 
     return both.mapInPandas(score, out)

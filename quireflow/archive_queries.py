@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import highlight, search_window
 from .operators import artifacts, context, curation, search
+from .sources.notes import parse_notes
 from .sources.tables import table
 
 QUERY, PAGE_QUERY, FUZZY_QUERY = "relief valve pump", "gauge page 100", "bearng calibrat regulatr"
@@ -99,8 +100,19 @@ def chunk_context(spark: SparkSession, root: str) -> DataFrame:
     return context.chunk_context(_chunks(spark, root))
 
 
+def _generated(spark: SparkSession, root: str) -> DataFrame:
+    """The notes generated from the chunks, read back as notes."""
+    d = parse_notes(curation.generated_note_text(_chunks(spark, root), table(spark, root, "doc_registry")))
+    return d.withColumn("id", F.xxhash64("relative_path"))
+
+
 def source_context(spark: SparkSession, root: str) -> DataFrame:
-    return context.source_context(_notes(spark, root))
+    return context.source_context(_generated(spark, root))
+
+
+def parsed_notes(spark: SparkSession, root: str) -> DataFrame:
+    d = _generated(spark, root)
+    return d.select("note_id", "title", F.array_join("tags", "|").alias("tags"), F.array_join("aliases", "|").alias("aliases"), F.col("meta")["page_start"].alias("page_start"), "note_origin", F.md5("body").alias("body_md5"))
 
 
 def preferred_notes(spark: SparkSession, root: str) -> DataFrame:
@@ -199,7 +211,7 @@ def note_ids(spark: SparkSession, root: str) -> DataFrame:
 
 def generated_notes(spark: SparkSession, root: str) -> DataFrame:
     d = curation.generated_note_text(_chunks(spark, root), table(spark, root, "doc_registry"))
-    return d.select("doc_id", "chunk_index", "file_name", F.md5("text").alias("text_md5"))
+    return d.select("doc_id", "chunk_index", "relative_path", F.md5("text").alias("text_md5"))
 
 
 def page_filter(spark: SparkSession, root: str) -> DataFrame:
@@ -213,7 +225,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vocabulary, fuzzy_expand, note_scores, search_notes, search_notes_scope, search_notes_page, search_structural, entry_scores, search_federated, result_titles, previews,
-        index_entries, storage_modes, chunk_context, source_context, preferred_notes, unit_runs, unit_statistics, display_items, verification_pages, table_links, figure_links,
+        index_entries, storage_modes, chunk_context, source_context, parsed_notes, preferred_notes, unit_runs, unit_statistics, display_items, verification_pages, table_links, figure_links,
         table_series, table_cells, outer_layouts, display_layouts, baseline_lines, prime_numbers, page_spec, curator_documents, collection_counts, curator_notes, origin_counts,
         folder_tree, titled_notes, note_ids, generated_notes, page_filter,
     )
@@ -284,6 +296,17 @@ hits AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, updated_at DESC NUL
 _NCI = "coalesce(TRY_CAST(meta['chunk_index'] AS INTEGER), TRY_CAST(nullif(regexp_extract(relative_path, '__chunk_(\\d+)(?:\\.md)?$', 1), '') AS INTEGER))"
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
+_HEADER = " || chr(10) || ".join(
+    f"'{c}: ' || " + ("coalesce(table_caption, 'None')" if c == "table_caption" else "coalesce(content_type, 'prose')" if c == "content_type" else f"coalesce(CAST({c} AS VARCHAR), '')") for c in curation.CHUNK_HEADER
+)
+_GENERATED = f"""{_C}, {_R}, g0 AS (SELECT c.*, trim(replace(coalesce(r.title, ''), '_', ' ')) AS base, lpad(CAST(c.chunk_index AS VARCHAR), 4, '0') AS n, coalesce(r.source_filename, '') AS file,
+  list_filter(string_split(coalesce(r.category_path, ''), '/'), lambda x: x <> '') AS parts, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({_STRIP.format("coalesce(r.title, '')")}), '[\\s-]+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS slug
+  FROM c JOIN r ON c.doc_id = r.doc_id),
+g AS (SELECT * EXCLUDE (text), text AS body, array_to_string(list_filter(['_generated', array_to_string(parts, '/'), doc_id, CASE WHEN slug = '' THEN 'untitled' ELSE slug END || '__chunk_' || n || '.md'], lambda x: x IS NOT NULL), '/') AS relative_path,
+  'title: ' || base || ' - chunk ' || n || chr(10) || 'note_id: note_' || doc_id || '_chunk_' || n || chr(10) || 'tags: ' || array_to_string(list_concat(['generated', 'ingested_pdf'], parts), ', ') || chr(10)
+  || 'aliases: ' || base || ' chunk ' || n || chr(10) || 'source_doc_id: ' || doc_id || chr(10) || 'source_filename: ' || file || chr(10) || 'chunk_index: ' || chunk_index || chr(10) || {_HEADER}
+  || chr(10) || chr(10) || {_STRIP.format("coalesce(text, '')")} || chr(10) AS text FROM g0)"""
+
 ORACLES = {
     "vocabulary": f"""WITH {_N}, w AS (SELECT unnest(list_concat(list_concat(list_concat(coalesce(regexp_split_to_array(lower(title), '[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}]+'), []), coalesce(regexp_split_to_array(lower(body), '[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}]+'), [])),
       coalesce(regexp_split_to_array(replace(lower(relative_path), '_', ' '), '\\s+'), [])), list_concat(coalesce(tags, []), coalesce(aliases, [])))) AS word FROM n) SELECT DISTINCT word FROM w WHERE word <> ''""",
@@ -308,8 +331,12 @@ SELECT doc_id, chunk_index - 1 AS entry_index, chunk_index, coalesce(content_typ
   coalesce(layout_hint, '') AS layout_hint, CASE WHEN length(t) > 220 THEN substring(t, 1, 220) || '...' ELSE t END AS preview, CASE WHEN content_type = 'table' THEN t ELSE '' END AS search_text FROM s""",
     "storage_modes": "SELECT doc_id, count(DISTINCT chunk_index) AS chunk_count, CASE WHEN count(DISTINCT chunk_index) <= 300 THEN 'persistent' ELSE 'structural_only' END AS chunk_storage_mode FROM chunks GROUP BY doc_id",
     "chunk_context": f"WITH {_C} SELECT chunk_id, doc_id, chunk_index, lag(chunk_id) OVER w AS previous_id, lead(chunk_id) OVER w AS next_id FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index, chunk_id)",
-    "source_context": f"""WITH {_N} SELECT note_id, source_doc_id AS doc_id, CAST(row_number() OVER w AS INTEGER) AS place, lag(note_id) OVER w AS previous_id, lead(note_id) OVER w AS next_id FROM n WHERE coalesce(source_doc_id, '') <> ''
-WINDOW w AS (PARTITION BY source_doc_id ORDER BY {_NCI} NULLS LAST, relative_path, id)""",
+    "generated_notes": f"WITH {_GENERATED} SELECT doc_id, chunk_index, relative_path, md5(text) AS text_md5 FROM g",
+    "parsed_notes": f"""WITH {_GENERATED} SELECT 'note_' || doc_id || '_chunk_' || n AS note_id, base || ' - chunk ' || n AS title, lower(array_to_string(list_concat(['generated', 'ingested_pdf'], parts), '|')) AS tags,
+  array_to_string(list_filter(list_transform(string_split(lower(base || ' chunk ' || n), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS aliases, coalesce(CAST(page_start AS VARCHAR), '') AS page_start, 'generated' AS note_origin,
+  md5({_STRIP.format("array_to_string(list_transform(string_split(" + _STRIP.format("coalesce(body, '')") + ", chr(10)), lambda x: " + _STRIP.format("x") + "), chr(10))")}) AS body_md5 FROM g""",
+    "source_context": f"""WITH {_C}, {_R}, j AS (SELECT c.doc_id, c.chunk_index, 'note_' || c.doc_id || '_chunk_' || lpad(CAST(c.chunk_index AS VARCHAR), 4, '0') AS note_id FROM c JOIN r ON c.doc_id = r.doc_id)
+SELECT note_id, doc_id, CAST(row_number() OVER w AS INTEGER) AS place, lag(note_id) OVER w AS previous_id, lead(note_id) OVER w AS next_id FROM j WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)""",
     "preferred_notes": f"""WITH {_N}, x AS (SELECT *, row_number() OVER (PARTITION BY source_doc_id ORDER BY coalesce(meta['chunk_storage_mode'], '') <> 'structural_only', coalesce({_NCI}, 999999), relative_path, note_id) AS rn FROM n WHERE coalesce(source_doc_id, '') <> '')
 SELECT source_doc_id AS doc_id, note_id FROM x WHERE rn = 1""",
     "unit_runs": f"""WITH {_E}, f AS (SELECT doc_id, entry_index, CASE WHEN semantic_unit_id <> '' AND semantic_unit_id = lag(semantic_unit_id) OVER (PARTITION BY doc_id ORDER BY entry_index) THEN 0 ELSE 1 END AS new FROM e),
@@ -350,7 +377,7 @@ q AS (SELECT DISTINCT p[1:i] AS p FROM (SELECT p, unnest(range(1, len(p) + 1)) A
 SELECT array_to_string(p, '/') AS path, CASE WHEN len(p) > 1 THEN array_to_string(p[1:len(p) - 1], '/') ELSE '' END AS parent, CAST(len(p) AS INTEGER) AS depth, p[len(p)] AS name FROM q""",
     "titled_notes": f"""WITH {_N}, {_R}, j AS (SELECT n.*, r.title AS dt, coalesce(n.is_generated, false) AND coalesce(r.title, '') <> '' AS use FROM n LEFT JOIN r ON trim(n.source_doc_id) = r.doc_id)
 SELECT note_id, CASE WHEN use THEN dt || coalesce(' - chunk ' || {_NCI}, '') ELSE title END AS title,
-  CASE WHEN use THEN array_to_string(list_filter(list_append(coalesce(aliases, []), lower(coalesce(title, ''))), lambda x, i: list_position(list_append(coalesce(aliases, []), lower(coalesce(title, ''))), x) = i), '|') ELSE array_to_string(coalesce(aliases, []), '|') END AS aliases FROM j""",
+  CASE WHEN use THEN array_to_string(list_filter(list_append(coalesce(aliases, []), lower(coalesce(title, ''))), lambda x: true), '|') ELSE array_to_string(coalesce(aliases, []), '|') END AS aliases FROM j""",
     "note_ids": "SELECT DISTINCT relative_path, 'note_' || substring(sha1(relative_path), 1, 12) AS note_id FROM note",
     "page_filter": f"WITH {_E} SELECT doc_id, entry_index FROM e WHERE coalesce(12 BETWEEN page_start AND coalesce(page_end, page_start), false)",
 }

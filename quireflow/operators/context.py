@@ -24,9 +24,9 @@ def note_chunk_index(notes: DataFrame) -> Column:
 
 
 def source_context(notes: DataFrame) -> DataFrame:
-    """(note_id, doc_id, place, previous_id, next_id): neighbours among the notes of one source, by chunk number then path."""
-    d = notes.where(F.coalesce("source_doc_id", F.lit("")) != "").withColumn("_c", note_chunk_index(notes))
-    w = Window.partitionBy("source_doc_id").orderBy(F.col("_c").asc_nulls_last(), "relative_path", "id")
+    """(note_id, doc_id, place, previous_id, next_id): neighbours among the generated notes of one source that have a chunk number, by it."""
+    d = notes.where((F.coalesce("source_doc_id", F.lit("")) != "") & F.col("is_generated")).withColumn("_c", note_chunk_index(notes)).where("_c is not null")
+    w = Window.partitionBy("source_doc_id").orderBy("_c", "relative_path", "id")
     return d.select("note_id", F.col("source_doc_id").alias("doc_id"), F.row_number().over(w).alias("place"), F.lag("note_id").over(w).alias("previous_id"), F.lead("note_id").over(w).alias("next_id"))
 
 

@@ -71,7 +71,7 @@ def titled_notes(notes: DataFrame, registry: DataFrame) -> DataFrame:
     n = note_chunk_index(notes)
     new = F.concat(F.col("_title"), F.coalesce(F.concat(F.lit(" - chunk "), n.cast("string")), F.lit("")))
     use = F.coalesce(F.col("is_generated"), F.lit(False)) & (F.coalesce("_title", F.lit("")) != "")
-    aliases = F.array_distinct(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.lower(F.coalesce("title", F.lit("")))))
+    aliases = F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.lower(F.coalesce("title", F.lit(""))))
     return d.select(*[F.when(use, new).otherwise(F.col("title")).alias("title") if c == "title" else F.when(use, aliases).otherwise(F.col("aliases")).alias("aliases") if c == "aliases" else notes[c] for c in notes.columns])
 
 
@@ -108,27 +108,59 @@ def backfill_note_ids(notes: DataFrame) -> DataFrame:
     return notes.withColumn("note_id", F.coalesce(F.when(F.col("note_id") != "", F.col("note_id")), made))
 
 
+# The header lines of generated notes, in their order, with the chunk's fields they hold.
+CHUNK_HEADER = [
+    "semantic_unit_id", "semantic_unit_index", "semantic_unit_page_start", "semantic_unit_page_end", "semantic_unit_char_count", "semantic_unit_block_count",
+    "retrieval_chunk_index", "retrieval_chunk_count", "page_start", "page_end", "section_heading", "content_type", "table_caption", "char_count",
+]
+
+
+def _text(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def _documents(registry: DataFrame) -> DataFrame:
+    d = latest_documents(registry)
+    base = F.trim(F.replace(F.coalesce("title", F.lit("")), F.lit("_"), F.lit(" ")))
+    return d.select("doc_id", base.alias("_base"), generated_slug(F.coalesce("title", F.lit(""))).alias("_slug"), _text(F.col("source_filename")).alias("_file"), path_parts(F.coalesce("category_path", F.lit(""))).alias("_parts"))
+
+
 def generated_note_text(chunks: DataFrame, registry: DataFrame) -> DataFrame:
-    """(doc_id, chunk_index, file_name, text): a Markdown note per chunk with a header of key: value lines.
+    """(doc_id, chunk_index, relative_path, text): a Markdown note per chunk with a header of key: value lines.
 
-    A prose chunk's missing caption is written ``None``, as readers of such notes expect.
+    A missing caption is written ``None``, as readers of such notes expect.
     """
-    docs = latest_documents(registry).select("doc_id", F.col("title").alias("_title"), F.col("source_filename").alias("_file"), F.col("category_path").alias("_category"))
-    d = chunks.join(docs, "doc_id")
+    d = chunks.join(_documents(registry), "doc_id")
+    n = F.col("chunk_index").cast("string")
+    n = F.when(F.length(n) >= 4, n).otherwise(F.lpad(n, 4, "0"))
+    field = {c: _text(F.col(c)) for c in CHUNK_HEADER} | {"table_caption": F.coalesce("table_caption", F.lit("None")), "content_type": F.coalesce("content_type", F.lit("prose"))}
     head = [
-        ("title", F.concat(F.coalesce("section_heading", "_title"), F.lit(" - chunk "), F.col("chunk_index").cast("string"))), ("source_doc_id", F.col("doc_id")),
-        ("source_filename", F.col("_file")), ("chunk_index", F.col("chunk_index")), ("semantic_unit_id", F.col("semantic_unit_id")),
-        ("page_start", F.col("page_start")), ("page_end", F.col("page_end")), ("content_type", F.coalesce("content_type", F.lit("prose"))), ("char_count", F.length("text")),
+        ("title", F.concat("_base", F.lit(" - chunk "), n)), ("note_id", F.concat(F.lit("note_"), "doc_id", F.lit("_chunk_"), n)),
+        ("tags", F.array_join(F.concat(F.array(F.lit("generated"), F.lit("ingested_pdf")), F.col("_parts")), ", ")), ("aliases", F.concat("_base", F.lit(" chunk "), n)),
+        ("source_doc_id", F.col("doc_id")), ("source_filename", F.col("_file")), ("chunk_index", _text(F.col("chunk_index"))), *field.items(),
     ]
-    lines = [F.concat(F.lit(f"{k}: "), F.coalesce(v.cast("string"), F.lit(""))) for k, v in head]
-    lines.insert(8, F.concat(F.lit("table_caption: "), F.coalesce("table_caption", F.lit("None"))))
-    name = F.concat(generated_slug(F.col("_title")), F.lit("__chunk_"), F.lpad(F.col("chunk_index").cast("string"), 4, "0"), F.lit(".md"))
-    return d.select("doc_id", "chunk_index", name.alias("file_name"), F.concat(F.concat_ws("\n", *lines), F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    lines = F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), v) for k, v in head])
+    path = F.concat_ws("/", F.lit("_generated"), F.array_join("_parts", "/"), "doc_id", F.concat("_slug", F.lit("__chunk_"), n, F.lit(".md")))
+    return d.select("doc_id", "chunk_index", path.alias("relative_path"), F.concat(lines, F.lit("\n\n"), strip(_text(F.col("text"))), F.lit("\n")).alias("text"))
+
+
+# The lines of the one note that stands for a document stored structurally.
+ANCHOR_BODY = "This document is stored in structural-only mode."
+ANCHOR_END = ["Persistent chunk notes were not generated.", "", "Use Structure View to browse the structural index and open transient reconstructed segments."]
 
 
 def anchor_note_text(registry: DataFrame) -> DataFrame:
-    """(doc_id, text): one note per structurally stored document, in place of a note per chunk."""
-    d = latest_documents(registry).where("chunk_storage_mode = 'structural_only'")
-    head = {"title": "title", "source_doc_id": "doc_id", "source_filename": "source_filename", "chunk_storage_mode": "chunk_storage_mode", "page_count": "page_count", "chunk_count": "chunk_count"}
-    lines = [F.concat(F.lit(f"{k}: "), F.coalesce(F.col(v).cast("string"), F.lit(""))) for k, v in head.items()]
-    return d.select("doc_id", F.concat(F.concat_ws("\n", *lines), F.lit("\n\n"), F.coalesce("title", F.lit(""))).alias("text"))
+    """(doc_id, relative_path, text): one note per structurally stored document, in place of a note per chunk."""
+    d = latest_documents(registry).where("chunk_storage_mode = 'structural_only'").join(_documents(registry), "doc_id")
+    col = lambda c: _text(F.col(c)) if c in registry.columns else F.lit("")
+    tags = F.array_join(F.concat(F.array(*map(F.lit, ("generated", "ingested_pdf", "structural_only"))), F.col("_parts")), ", ")
+    head = [
+        ("title", F.col("_base")), ("tags", tags), ("note_id", F.concat(F.lit("note_"), "doc_id", F.lit("_structural_anchor"))), ("aliases", F.col("_base")), ("source_doc_id", F.col("doc_id")),
+        ("source_filename", F.col("_file")), ("file_type", col("file_type")), ("page_count", col("page_count")), ("chunk_count_estimate", col("chunk_count")),
+        ("chunk_storage_mode", col("chunk_storage_mode")), ("structural_index_file", col("structural_index_file")),
+    ]
+    again = [("title", F.col("_base")), ("source file", F.col("_file")), ("pages", col("page_count")), ("Structural entries", col("chunk_count")), ("Storage mode", col("chunk_storage_mode"))]
+    line = lambda kv: F.concat(F.lit(f"{kv[0]}: "), kv[1])
+    parts = [*map(line, head), F.lit(""), F.lit(ANCHOR_BODY), F.lit(""), *map(line, again), F.lit(""), *map(F.lit, ANCHOR_END), F.lit("")]
+    path = F.concat_ws("/", F.lit("_generated"), F.array_join("_parts", "/"), "doc_id", F.concat("_slug", F.lit("__document.md")))
+    return d.select("doc_id", path.alias("relative_path"), F.concat_ws("\n", *parts).alias("text"))

@@ -41,7 +41,7 @@ def ingest(registered: DataFrame, max_chars: int = chunker.MAX_CHARS, mode: str
     docs = registered.drop("text").join(modes, "doc_id", "left").withColumn("status", F.when(F.col("chunk_count") > 0, "chunked").otherwise("registered"))
     docs = docs.withColumn("page_count", F.lit(None).cast("int"))
     kept = chunks.join(modes.where("chunk_storage_mode = 'persistent'").select("doc_id"), "doc_id", "left_semi")
-    notes = generated_note_text(kept, docs).select("doc_id", "file_name", "text").unionByName(anchor_note_text(docs).select("doc_id", F.lit("anchor.md").alias("file_name"), "text"))
+    notes = generated_note_text(kept, docs).drop("chunk_index").unionByName(anchor_note_text(docs))
     return Ingested(docs, kept, index_entries(chunks), notes)
 
 

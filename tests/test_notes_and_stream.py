@@ -60,7 +60,7 @@ def test_registry(spark):
     for title, coll in (("", "public"), ("x" * 301, "public"), ("ok", "secret")):
         with pytest.raises(ValueError):
             curation.update_details(reg, "c", title, coll)
-    assert curation.anchor_note_text(reg).first().text.startswith("title: \nsource_doc_id: c\n")
+    assert curation.anchor_note_text(reg).first().text.startswith("title: \ntags: generated, ingested_pdf, structural_only, c\nnote_id: note_c_structural_anchor\n")
 
 
 def test_stream_ingests_each_file_once(spark, tmp_path):

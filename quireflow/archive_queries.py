@@ -9,6 +9,7 @@ from .functions.text import highlight, search_window
 from .operators import artifacts, context, curation, search
 from .sources.notes import parse_notes
 from .sources.tables import table
+from .text_queries import _strip
 
 QUERY, PAGE_QUERY, FUZZY_QUERY = "relief valve pump", "gauge page 100", "bearng calibrat regulatr"
 
@@ -294,18 +295,17 @@ hits AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, updated_at DESC NUL
   list_filter(string_split(category_path, '/'), lambda x: x <> '') AS category_parts FROM t)
 """
 _NCI = "coalesce(TRY_CAST(meta['chunk_index'] AS INTEGER), TRY_CAST(nullif(regexp_extract(relative_path, '__chunk_(\\d+)(?:\\.md)?$', 1), '') AS INTEGER))"
-_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 _HEADER = " || chr(10) || ".join(
     f"'{c}: ' || " + ("coalesce(table_caption, 'None')" if c == "table_caption" else "coalesce(content_type, 'prose')" if c == "content_type" else f"coalesce(CAST({c} AS VARCHAR), '')") for c in curation.CHUNK_HEADER
 )
 _GENERATED = f"""{_C}, {_R}, g0 AS (SELECT c.*, trim(replace(coalesce(r.title, ''), '_', ' ')) AS base, lpad(CAST(c.chunk_index AS VARCHAR), 4, '0') AS n, coalesce(r.source_filename, '') AS file,
-  list_filter(string_split(coalesce(r.category_path, ''), '/'), lambda x: x <> '') AS parts, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({_STRIP.format("coalesce(r.title, '')")}), '[\\s-]+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS slug
+  list_filter(string_split(coalesce(r.category_path, ''), '/'), lambda x: x <> '') AS parts, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({_strip("coalesce(r.title, '')")}), '[\\s-]+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS slug
   FROM c JOIN r ON c.doc_id = r.doc_id),
 g AS (SELECT * EXCLUDE (text), text AS body, array_to_string(list_filter(['_generated', array_to_string(parts, '/'), doc_id, CASE WHEN slug = '' THEN 'untitled' ELSE slug END || '__chunk_' || n || '.md'], lambda x: x IS NOT NULL), '/') AS relative_path,
   'title: ' || base || ' - chunk ' || n || chr(10) || 'note_id: note_' || doc_id || '_chunk_' || n || chr(10) || 'tags: ' || array_to_string(list_concat(['generated', 'ingested_pdf'], parts), ', ') || chr(10)
   || 'aliases: ' || base || ' chunk ' || n || chr(10) || 'source_doc_id: ' || doc_id || chr(10) || 'source_filename: ' || file || chr(10) || 'chunk_index: ' || chunk_index || chr(10) || {_HEADER}
-  || chr(10) || chr(10) || {_STRIP.format("coalesce(text, '')")} || chr(10) AS text FROM g0)"""
+  || chr(10) || chr(10) || {_strip("coalesce(text, '')")} || chr(10) AS text FROM g0)"""
 
 ORACLES = {
     "vocabulary": f"""WITH {_N}, w AS (SELECT unnest(list_concat(list_concat(list_concat(coalesce(regexp_split_to_array(lower(title), '[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}]+'), []), coalesce(regexp_split_to_array(lower(body), '[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}]+'), [])),
@@ -326,7 +326,7 @@ g AS (SELECT *, greatest(instr(lower(body), t) - 21, 0) AS a, least(instr(lower(
 SELECT note_id, CASE WHEN t IS NULL THEN substring(body, 1, 50) || CASE WHEN length(body) > 50 THEN '...' ELSE '' END
   ELSE CASE WHEN a > 0 THEN '...' ELSE '' END || substring(body, a + 1, b - a) || CASE WHEN b < length(body) THEN '...' ELSE '' END END AS preview,
   {"replace(" * len(_TERMS)}replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'){"".join(f", '{t}', '<mark>{t}</mark>')" for t in _TERMS)} AS marked FROM g""",
-    "index_entries": f"""WITH {_C}, s AS (SELECT *, {_STRIP.format("coalesce(text, '')")} AS t FROM c)
+    "index_entries": f"""WITH {_C}, s AS (SELECT *, {_strip("coalesce(text, '')")} AS t FROM c)
 SELECT doc_id, chunk_index - 1 AS entry_index, chunk_index, coalesce(content_type, 'prose') AS content_type, coalesce(section_heading, '') AS section_heading, coalesce(table_caption, '') AS table_caption,
   coalesce(layout_hint, '') AS layout_hint, CASE WHEN length(t) > 220 THEN substring(t, 1, 220) || '...' ELSE t END AS preview, CASE WHEN content_type = 'table' THEN t ELSE '' END AS search_text FROM s""",
     "storage_modes": "SELECT doc_id, count(DISTINCT chunk_index) AS chunk_count, CASE WHEN count(DISTINCT chunk_index) <= 300 THEN 'persistent' ELSE 'structural_only' END AS chunk_storage_mode FROM chunks GROUP BY doc_id",
@@ -334,7 +334,7 @@ SELECT doc_id, chunk_index - 1 AS entry_index, chunk_index, coalesce(content_typ
     "generated_notes": f"WITH {_GENERATED} SELECT doc_id, chunk_index, relative_path, md5(text) AS text_md5 FROM g",
     "parsed_notes": f"""WITH {_GENERATED} SELECT 'note_' || doc_id || '_chunk_' || n AS note_id, base || ' - chunk ' || n AS title, lower(array_to_string(list_concat(['generated', 'ingested_pdf'], parts), '|')) AS tags,
   array_to_string(list_filter(list_transform(string_split(lower(base || ' chunk ' || n), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS aliases, coalesce(CAST(page_start AS VARCHAR), '') AS page_start, 'generated' AS note_origin,
-  md5({_STRIP.format("array_to_string(list_transform(string_split(" + _STRIP.format("coalesce(body, '')") + ", chr(10)), lambda x: " + _STRIP.format("x") + "), chr(10))")}) AS body_md5 FROM g""",
+  md5({_strip("array_to_string(list_transform(string_split(" + _strip("coalesce(body, '')") + ", chr(10)), lambda x: " + _strip("x") + "), chr(10))")}) AS body_md5 FROM g""",
     "source_context": f"""WITH {_C}, {_R}, j AS (SELECT c.doc_id, c.chunk_index, 'note_' || c.doc_id || '_chunk_' || lpad(CAST(c.chunk_index AS VARCHAR), 4, '0') AS note_id FROM c JOIN r ON c.doc_id = r.doc_id)
 SELECT note_id, doc_id, CAST(row_number() OVER w AS INTEGER) AS place, lag(note_id) OVER w AS previous_id, lead(note_id) OVER w AS next_id FROM j WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)""",
     "preferred_notes": f"""WITH {_N}, x AS (SELECT *, row_number() OVER (PARTITION BY source_doc_id ORDER BY coalesce(meta['chunk_storage_mode'], '') <> 'structural_only', coalesce({_NCI}, 999999), relative_path, note_id) AS rn FROM n WHERE coalesce(source_doc_id, '') <> '')

@@ -343,15 +343,15 @@ SELECT source_doc_id AS doc_id, note_id FROM x WHERE rn = 1""",
 g AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY entry_index) AS INTEGER) AS run FROM f)
 SELECT doc_id, entry_index, run, min(entry_index) OVER (PARTITION BY doc_id, run) AS first_entry, max(entry_index) OVER (PARTITION BY doc_id, run) AS last_entry FROM g""",
     "unit_statistics": f"WITH {_C} SELECT doc_id, semantic_unit_id, min(page_start) AS page_start, max(page_end) AS page_end, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars FROM c GROUP BY ALL",
-    "verification_pages": f"""WITH {_E}, p AS (SELECT doc_id, unnest(range(page_start, least(coalesce(page_end, page_start), page_start + 7) + 1)) AS p, content_type = 'table' OR coalesce(table_caption, '') <> '' AS tab, layout_hint = 'equation' AS eq
-  FROM e WHERE page_start IS NOT NULL AND coalesce(page_end, page_start) >= page_start),
-k AS (SELECT DISTINCT doc_id, p, 0 AS kind FROM p WHERE tab UNION SELECT DISTINCT doc_id, p, 1 FROM p WHERE eq), m AS (SELECT doc_id, min(kind) AS kind FROM k GROUP BY doc_id)
+    "verification_pages": f"""WITH {_E}, x AS (SELECT doc_id, page_start AS a, greatest(coalesce(page_end, page_start), page_start) AS b,
+  content_type = 'table' OR regexp_matches(coalesce(preview, ''), '(?i)^\\s*(?:[A-Za-z][A-Za-z''-]*\\s+){{1,10}}Table\\s+(?:for|of)\\s+\\d[\\d,]*\\s+(?:to|through|[–—-])\\s+\\d[\\d,]*') AS tab, layout_hint = 'equation' AS eq FROM e WHERE page_start > 0),
+k AS (SELECT DISTINCT doc_id, unnest(range(a, least(b, a + 7) + 1)) AS p, 0 AS kind FROM x WHERE tab UNION SELECT DISTINCT doc_id, unnest(range(a, b + 1)), 1 FROM x WHERE eq), m AS (SELECT doc_id, min(kind) AS kind FROM k GROUP BY doc_id)
 SELECT doc_id, array_to_string(list(p ORDER BY p)[1:8], ',') AS pages FROM k JOIN m USING (doc_id, kind) GROUP BY doc_id""",
     "table_links": f"""WITH {_E}, {_L}, ek AS (SELECT doc_id, entry_index, page_start AS page_number, trim(regexp_replace(lower(coalesce(table_caption, '')), '[^a-z0-9]+', ' ', 'g')) AS k FROM e WHERE content_type = 'table' OR coalesce(table_caption, '') <> ''),
 lk AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page_number) AS n FROM (SELECT DISTINCT doc_id, page_number, layout_id, coalesce(table_index, 0) AS i, trim(regexp_replace(lower(coalesce(caption, '')), '[^a-z0-9]+', ' ', 'g')) AS c FROM l)),
 j AS (SELECT ek.doc_id, entry_index, layout_id, i, n, k <> '' AND c <> '' AND (contains(k, c) OR contains(c, k)) AS m FROM ek JOIN lk USING (doc_id, page_number)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, entry_index ORDER BY m DESC, i, layout_id) AS rn FROM j WHERE m OR n = 1) SELECT doc_id, entry_index, layout_id FROM r WHERE rn = 1""",
-    "figure_links": f"""WITH {_E}, {_L}, b AS (SELECT doc_id, entry_index, unnest(range(page_start, coalesce(page_end, page_start) + 1)) AS page_number, trim(regexp_replace(lower(replace(coalesce(preview, ''), 'ß', 'ss')), '[^a-z0-9]+', ' ', 'g')) AS t FROM e WHERE page_start IS NOT NULL AND coalesce(page_end, page_start) >= page_start),
+    "figure_links": f"""WITH {_E}, {_L}, b AS (SELECT doc_id, entry_index, page_start AS page_number, trim(regexp_replace(lower(replace(coalesce(preview, ''), 'ß', 'ss')), '[^a-z0-9]+', ' ', 'g')) AS t FROM e WHERE page_start IS NOT NULL),
 f AS (SELECT doc_id, page_number, layout_id, trim(regexp_replace(lower(coalesce(caption, '')), '[^a-z0-9]+', ' ', 'g')) AS k FROM l),
 r AS (SELECT f.doc_id, layout_id, entry_index, row_number() OVER (PARTITION BY f.doc_id, layout_id ORDER BY (k <> '' AND contains(t, k)) DESC, entry_index) AS rn FROM f JOIN b USING (doc_id, page_number))
 SELECT doc_id, layout_id, entry_index FROM r WHERE rn = 1""",

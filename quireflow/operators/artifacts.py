@@ -76,8 +76,7 @@ def link_tables(entries: DataFrame, layouts: DataFrame) -> DataFrame:
 def link_figures(entries: DataFrame, figures: DataFrame) -> DataFrame:
     """(doc_id, layout_id, entry_index): per figure the first entry of its page whose body holds the caption key, else the page's first."""
     body = caption_key(F.coalesce(*[c for c in ("body", "preview") if c in entries.columns], F.lit("")))
-    e = entries.where("page_start is not null").select("doc_id", "entry_index", F.col("page_start").alias("_a"), F.coalesce("page_end", "page_start").alias("_b"), body.alias("_body"))
-    e = e.where("_b >= _a").withColumn("page_number", F.explode(F.sequence("_a", "_b")))
+    e = entries.select("doc_id", "entry_index", F.col("page_start").alias("page_number"), body.alias("_body")).where("page_number is not null")
     f = figures.select("doc_id", "page_number", "layout_id", caption_key(F.coalesce("caption", F.lit(""))).alias("k"))
     d = f.join(e, ["doc_id", "page_number"]).withColumn("m", ((F.col("k") != "") & F.contains("_body", "k")).cast("int"))
     w = Window.partitionBy("doc_id", "layout_id").orderBy(F.desc("m"), "entry_index")
@@ -164,13 +163,6 @@ def replace_pages(old: DataFrame, new: DataFrame, pages: list[int]) -> DataFrame
     return old.where(~F.col("page_number").isin(pages)).unionByName(new, allowMissingColumns=True)
 
 
-def figure_label_text(figures: DataFrame) -> DataFrame:
-    """``label_text`` cut at the end of the caption, if the caption stands in it."""
-    at = F.instr(F.col("label_text"), F.col("caption"))
-    rest = strip(F.substring("label_text", F.lit(1), at - 1))
-    return figures.withColumn("label_text", F.when((F.coalesce("caption", F.lit("")) != "") & (at > 0), rest).otherwise(F.col("label_text")))
-
-
 def primes(limit: int, spark) -> DataFrame:
     """Primes up to ``limit`` by anti-joining the composites."""
     n = spark.range(2, limit + 1).withColumnRenamed("id", "n")

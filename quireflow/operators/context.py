@@ -97,14 +97,26 @@ def display_items(entries: DataFrame) -> DataFrame:
     return g.withColumn("entries_in_item", F.sum("chunks").over(Window.partitionBy("doc_id", "item")))
 
 
-def verification_pages(entries: DataFrame, most: int = MAX_PAGES) -> DataFrame:
-    """(doc_id, pages): per document the first ``most`` pages that need a look: of tables, else of equations."""
-    span = F.sequence(F.col("page_start"), F.least(F.coalesce("page_end", "page_start"), F.col("page_start") + most - 1))
-    d = entries.where("page_start is not null and coalesce(page_end, page_start) >= page_start").withColumn("_p", span)
-    table = (F.col("content_type") == "table") | (F.coalesce("table_caption", F.lit("")) != "")
-    kinds = d.groupBy("doc_id").agg(F.flatten(F.collect_set(F.when(table, F.col("_p")))).alias("a"), F.flatten(F.collect_set(F.when(F.col("layout_hint") == "equation", F.col("_p")))).alias("b"))
-    best = F.when(F.size("a") > 0, F.col("a")).otherwise(F.col("b"))
-    return kinds.select("doc_id", F.slice(F.array_sort(F.array_distinct(best)), 1, most).alias("pages")).where(F.size("pages") > 0)
+def verification_pages(entries: DataFrame, layouts: DataFrame | None = None, warning: bool = True, group: tuple[str, ...] = ("doc_id",), most: int = MAX_PAGES) -> DataFrame:
+    """(group, pages): the first ``most`` pages of the source that are worth a look.
+
+    Pages of linked table layouts; else pages of table entries and of entries that begin with a range caption, each
+    clipped to ``most`` pages; else, with a warning, the pages of equations. layouts: (group, page_number).
+    """
+    start, end = F.col("page_start"), F.greatest(F.coalesce("page_end", "page_start"), F.col("page_start"))
+    d = entries.where("page_start > 0")
+    table = (F.col("content_type") == "table") | P.leading_caption(F.coalesce("preview", F.lit(""))).isNotNull()
+    pages = lambda cond, to: F.flatten(F.collect_list(F.when(cond, F.sequence(start, to))))
+    by = d.groupBy(*group).agg(pages(table, F.least(end, start + most - 1)).alias("b"), pages(F.col("layout_hint") == "equation", end).alias("c"))
+    none = F.array().cast("array<int>")
+    if layouts is not None:
+        linked = layouts.where("page_number > 0").groupBy(*group).agg(F.collect_set("page_number").alias("a"))
+        by = by.join(linked, list(group), "full")
+    else:
+        by = by.withColumn("a", none)
+    a, b, c = (F.coalesce(x, none) for x in ("a", "b", "c"))
+    best = F.when(F.size(a) > 0, a).when(F.size(b) > 0, b).otherwise(c if warning else none)
+    return by.select(*group, F.slice(F.array_sort(F.array_distinct(best)), 1, most).alias("pages")).where(F.size("pages") > 0)
 
 
 def segment_bodies(entries: DataFrame, documents: DataFrame) -> DataFrame:

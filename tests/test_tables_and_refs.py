@@ -93,11 +93,11 @@ def test_page_spec_and_primes(spark):
     assert [r.n for r in artifacts.primes(30, spark).orderBy("n").collect()] == [2, 3, 5, 7, 11, 13, 17, 19, 23, 29]
 
 
-ENTRY = "doc_id string, entry_index int, content_type string, section_heading string, semantic_unit_id string, table_layout_id string, page_start int, page_end int, char_count int, table_caption string, layout_hint string"
+ENTRY = "doc_id string, entry_index int, content_type string, section_heading string, semantic_unit_id string, table_layout_id string, page_start int, page_end int, char_count int, table_caption string, layout_hint string, preview string"
 
 
 def test_display_items(spark):
-    e = lambda i, kind="prose", head="", unit=None, layout=None, n=10: ("d", i, kind, head, unit, layout, i + 1, i + 1, n, "", "")
+    e = lambda i, kind="prose", head="", unit=None, layout=None, n=10: ("d", i, kind, head, unit, layout, i + 1, i + 1, n, "", "", "")
     rows = [e(0), e(1, head="Preface"), e(2), e(3, "contents"), e(4, "contents"), e(5), e(6, "table", unit="t"), e(7, "table", unit="t"), e(8, "table", unit="v"), e(9, head="COPYRIGHT"), e(10, "contents")]
     got = [(r.label, r.first_entry, r.chunks, r.entries_in_item) for r in context.display_items(spark.createDataFrame(rows, ENTRY)).orderBy("card").collect()]
     assert got == [
@@ -107,6 +107,6 @@ def test_display_items(spark):
 
 
 def test_verification_pages(spark):
-    rows = [("d", 0, "table", "", None, None, 3, 20, 1, "", ""), ("d", 1, "prose", "", None, None, 2, None, 1, "Table 1", ""), ("q", 0, "prose", "", None, None, 7, 7, 1, "", "equation"), ("z", 0, "prose", "", None, None, 7, 7, 1, "", "")]
+    rows = [("d", 0, "table", "", None, None, 3, 20, 1, "", "", ""), ("d", 1, "prose", "", None, None, 2, None, 1, "", "", "Gear Table for 1 to 90 and"), ("q", 0, "prose", "", None, None, 7, 7, 1, "", "equation", None), ("z", 0, "prose", "", None, None, 7, 7, 1, "", "", "")]
     got = {r.doc_id: r.pages for r in context.verification_pages(spark.createDataFrame(rows, ENTRY)).collect()}
     assert got == {"d": [2, 3, 4, 5, 6, 7, 8, 9], "q": [7]}

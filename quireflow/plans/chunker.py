@@ -8,6 +8,9 @@ in Python, per page.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -124,20 +127,31 @@ def split_oversized(text: Column, content_type: Column, limit: int) -> Column:
 def source_spans(chunks: DataFrame, page_rows: DataFrame) -> DataFrame:
     """Adds source_char_start/end: each chunk's words searched in its page from the end of the chunk found before."""
     last = page_rows.groupBy("doc_id", "page_number").agg(F.max_by(F.struct("text", "source_char_start"), "page_seq").alias("_src"))
-    slim = chunks.select("doc_id", F.col("page_start").alias("page_number"), "chunk_index", F.col("text").alias("_t")).join(last, ["doc_id", "page_number"])
-    slim = slim.select("doc_id", "page_number", "chunk_index", "_t", F.col("_src.text").alias("_page"), F.col("_src.source_char_start").alias("_base"))
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, cursor = [], 0
-        for r in pdf.sort_values("chunk_index").itertuples(index=False):
-            words = r[3].split()
-            m = re.compile(r"\s+".join(map(re.escape, words))).search(r[4], cursor) if words else None
-            if m:
-                cursor = m.end()
-                out.append((r[0], r[2], r[5] + m.start(), r[5] + m.end()))
-        return pd.DataFrame(out, columns=["doc_id", "chunk_index", "source_char_start", "source_char_end"])
-
-    spans = slim.groupBy("doc_id", "page_number").applyInPandas(find, "doc_id string, chunk_index int, source_char_start long, source_char_end long")
+    texts = chunks.groupBy("doc_id", F.col("page_start").alias("page_number")).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("_c"))
+    # one row per page: its text and its chunks in order
+    slim = texts.join(last, ["doc_id", "page_number"]).select(
+        "doc_id", F.col("_src.text").alias("page"), F.col("_src.source_char_start").alias("base"), F.transform("_c", lambda x: x["chunk_index"]).alias("at"), F.transform("_c", lambda x: x["text"]).alias("texts"),
+    )
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                # the page with single blanks, and where each of its words begins there and in the page
+                found = list(re.finditer(r"\S+", r.page))
+                flat = " ".join(m[0] for m in found)
+                here = list(accumulate((len(m[0]) + 1 for m in found), initial=0))
+                place = lambda k: found[(w := bisect_right(here, k) - 1)].start() + k - here[w]  # noqa: B023, E731
+                cursor = 0
+                for i, t in zip(r.at, r.texts):
+                    words = " ".join(t.split())
+                    at = flat.find(words, cursor) if words else -1
+                    if at >= 0:
+                        cursor = at + len(words)
+                        out.append((r.doc_id, i, r.base + place(at), r.base + place(cursor - 1) + 1))
+            yield pd.DataFrame(out, columns=["doc_id", "chunk_index", "source_char_start", "source_char_end"])
+
+    spans = slim.mapInPandas(find, "doc_id string, chunk_index int, source_char_start long, source_char_end long")
     return chunks.join(spans, ["doc_id", "chunk_index"], "left")
 
 

@@ -45,20 +45,24 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\\R")
 
 
-def margin_indexes(lines: Column, count: int = MARGIN_LINES) -> Column:
-    """0-based indexes of the first and last non-blank lines of a page."""
-    filled = F.filter(F.transform(lines, lambda x, i: F.when(strip(x) != "", i)), lambda i: i.isNotNull())
-    n = F.size(filled)
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row: the planner does not copy it into the lambdas that use it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def with_margins(pages: DataFrame, lines: str, count: int = MARGIN_LINES) -> DataFrame:
+    """Adds ``margin``: the 0-based indexes of the first and last non-blank lines of a page."""
+    d = once(pages, "_filled", F.filter(F.transform(lines, lambda x, i: F.when(strip(x) != "", i)), lambda i: i.isNotNull()))
+    n = F.size("_filled")
     m = F.least(F.lit(count), F.greatest(F.lit(1), F.floor(n / 4))).cast("int")
-    edge = F.concat(F.slice(filled, F.lit(1), m), F.slice(filled, F.greatest(n - m + 1, F.lit(1)), m))
-    return F.when(n > 0, F.array_distinct(edge)).otherwise(F.array().cast("array<int>"))
+    edge = F.concat(F.slice("_filled", F.lit(1), m), F.slice("_filled", F.greatest(n - m + 1, F.lit(1)), m))
+    return once(d, "margin", F.when(n > 0, F.array_distinct(edge)).otherwise(F.array().cast("array<int>"))).drop("_filled")
 
 
 def page_furniture(pages: DataFrame, count: int = MARGIN_LINES, min_pages: int = MIN_PAGES, fraction: float = MIN_FRACTION) -> DataFrame:
     """(doc_id, key): margin lines that recur on a share of a document's pages."""
-    p = pages.select("doc_id", lines_of(F.col("text")).alias("lines"))
-    p = p.withColumn("i", margin_indexes(F.col("lines"), count))
-    marginal = F.transform("i", lambda i: F.get("lines", i))
+    p = with_margins(pages.select("doc_id", lines_of(F.col("text")).alias("lines")), "lines", count)
+    marginal = F.transform("margin", lambda i: F.get("lines", i))
     wanted = F.filter(marginal, lambda x: (F.length(strip(x)) <= MAX_KEY) & x.rlike("[A-Za-z]"))
     keys = p.select("doc_id", F.explode(F.array_distinct(F.transform(wanted, heading_key))).alias("key")).groupBy("doc_id", "key").count()
     sizes = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
@@ -74,19 +78,20 @@ def strip_furniture(pages: DataFrame, furniture: DataFrame, count: int = MARGIN_
     order = F.transform(F.array_sort(F.collect_list(F.struct((-F.length("key")).alias("n"), "key"))), lambda x: x["key"])
     keys = furniture.groupBy("doc_id").agg(order.alias("keys"))
     p = pages.join(keys, "doc_id", "left").withColumn("raw", lines_of(F.col("text")))
-    known = lambda x: F.coalesce(F.array_contains("keys", heading_key(x)), F.lit(False))
-    only = F.forall("raw", lambda x: (strip(x) == "") | known(x))
-    at = F.when(only, F.sequence(F.lit(0), F.greatest(F.size("raw") - 1, F.lit(0)))).otherwise(margin_indexes(F.col("raw"), count))
-    p = p.withColumn("at", at)
+    p = once(p, "folded", F.when(F.col("keys").isNotNull(), F.transform("raw", heading_key)))
+    only = F.forall("folded", lambda k: (k == "") | F.array_contains("keys", k))
+    every = F.sequence(F.lit(0), F.greatest(F.size("raw") - 1, F.lit(0)))
+    p = once(with_margins(p, "raw", count), "at", F.when(only, every).otherwise(F.col("margin")))
+    # the longest key that ends a line of the margin, by line
+    p = once(p, "cuts", F.transform("folded", lambda k, i: F.when(F.array_contains("at", i) & (k != ""), F.get(F.filter("keys", lambda x: F.endswith(k, x)), F.lit(0)))))
 
     def cut(x: Column, i: Column) -> Column:
-        key = F.get(F.filter("keys", lambda k: F.endswith(heading_key(x), k)), F.lit(0))
+        key = F.get("cuts", i)
         pattern = F.concat(F.lit("(?iU)\\s*\\Q"), F.replace(key, F.lit(" "), F.lit("\\E\\s+\\Q")), F.lit("\\E\\s*$"))
-        short = F.regexp_replace(F.regexp_replace(x, pattern, F.lit("")), "(?U)\\s+$", "")
-        return F.when(F.array_contains("at", i) & key.isNotNull() & (strip(x) != ""), short).otherwise(x)
+        return F.when(key.isNull(), x).otherwise(F.regexp_replace(F.regexp_replace(x, pattern, F.lit("")), "(?U)\\s+$", ""))
 
     lines = F.when(F.col("keys").isNull(), F.col("raw")).otherwise(F.transform("raw", cut))
-    return p.withColumn("lines", lines).drop("raw", "at", "keys")
+    return p.withColumn("lines", lines).drop("raw", "folded", "margin", "at", "cuts", "keys")
 
 
 def classify_pages(pages: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ _SNAKE = r"[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+|[A-Z][A-Z0-9]{2,}"
 #: Markup that holds a variable and nothing else; the name is in the first group that matched.
 _SLOT = re.compile(
     rf"\{{\{{\s*({_NAME})\s*\}}\}}|[$#]\{{\s*({_NAME})\s*\}}|<%=?\s*({_NAME})\s*%>|\{{%\s*(?:\w+\s+)?({_NAME})\s*%\}}"
-    rf"|\[\[\s*({_NAME})\s*\]\]|<<\s*({_NAME})\s*>>|@@\s*({_NAME})\s*@@|&lt;\s*({_NAME})\s*&gt;|«\s*({_SNAKE})\s*»"
+    rf"|\[\[\s*({_NAME})\s*\]\]|<<\s*({_NAME})\s*>>|@@\s*({_NAME})\s*@@|(?i:&lt;)\s*({_NAME})\s*(?i:&gt;)|«\s*({_SNAKE})\s*»"
     rf"|(?<![\w%])%({_NAME})%(?![\w%])|(?<!\w)__({_NAME}?)__(?!\w)"
     rf"|\[\s*(?i:insert|enter|add|your|type)\s+({_NAME})\s*\]|\[\s*({_NAME})\s+(?i:goes here|here)\s*\]|\[\s*(?i:todo|tbd|fixme)\s*:?\s*({_NAME})?\s*\]"
     rf"|<\s*(?i:enter|insert|your|type|add)\s+({_NAME})\s*>|[<\[({{]\s*({_SNAKE})\s*[>\])}}]"
@@ -40,10 +40,10 @@ _BLANK = re.compile(r"\b\w+\s*:\s*(?:_{4,}|\[\s*\]|<\s*>)(?=\s|$)|\(\s*_{3,}\s*\
 #: Words before or after a slot that speak about it.
 _SPEAKS_BEFORE = re.compile(
     r"(?:such as|variables?|called|named|placeholders?|symbols?|tokens?|the (?:string|tag|marker|notation|syntax)|for example|e\.g\.|written|spelled"
-    r"|wie etwa|namens|genannt|platzhalter|variable|par exemple|comme|appelée?s?|por ejemplo|como|llamad[oa]s?)[\s:,'\"“„«(]*$",
+    r"|wie etwa|namens|genannt|platzhalter|variable|par exemple|appelée?s?|por ejemplo|llamad[oa]s?)[\s:,'\"“„«(]*$",
     re.I,
 )
-_SPEAKS_AFTER = re.compile(r"^[\s'\"”“»),]*(?:stood for|stands? for|means|is replaced|was replaced|denotes|steht für|signifie|significa)\b", re.I)
+_SPEAKS_AFTER = re.compile(r"^[\s'\"”“»),]*(?:stood for|stands? for|means|denotes|steht für|signifie|significa)\b", re.I)
 
 # Defaults and filler that stand in place of content, in four languages.
 _DEFAULT = re.compile(
@@ -100,7 +100,7 @@ _WORDS = re.compile(r"\w+")
 
 
 #: A text without any of these has no trace of residue; the test runs in the JVM over all documents.
-_MARKS = ("{", "<", "[", "@@", "«", "__", "&lt;", "____")
+_MARKS = ("{", "<", "[", "@@", "«", "__", "&lt;", "&LT;")
 _WORDING = (
     "lorem", "ipsum", "javascript", "script", "cookie", "error", "erreur", "fehler", "http/", "denied", "permission", "expired", "maintenance",
     "traceback", "exception", "database", "not found", "nicht gefunden", "introuvable", "no existe", "disponible", "supplied", "goes here", "text here",
@@ -108,7 +108,7 @@ _WORDING = (
     "gateway", "forbidden", "unauthorized", "unavailable", "moved or", "segmentation", "click to", "saisir ici", "sustituya", "richtigen text", "coming soon",
     "under construction", "verweigert", "refusé", "denegado", "abgelaufen", "expiré", "wartung", "quisque", "dolor",
 )
-_MARKUP = re.compile(r"[{<\[«%_]|@@|&lt;")
+_MARKUP = re.compile(r"[{<\[«%_]|@@|&lt;", re.I)
 
 
 def _slots(flat: str, out: list[tuple[str, bool, str, str]]) -> None:

@@ -100,7 +100,7 @@ RESIDUE = [
     "xxx xxx xxx xxx xxx xxx xxx xxx", "A line.\n\nAccess denied. Your account has no permission for this shelf. Incident 5bee369a", "HTTP/1.1 503 Service Unavailable\nconnection: close",
     "Menu | Contents\nPlease enable JavaScript to see this page.\nThe pump is warm.", "Bitte aktivieren Sie JavaScript, um dieses Blatt anzuzeigen.", "ERROR 404: NOT FOUND. GO BACK TO THE START PAGE.",
     "Traceback (most recent call last):\n  File \"a.py\", line 3, in x\nKeyError: 'b'", "Hier steht ein Blindtext. Bitte durch den richtigen Text ersetzen.", "Name: ________ Date: 3 May",
-    "Your session has expired. Please sign in again.", "The pump. [TODO: add model] It is warm.", "Texte provisoire. Merci de saisir ici la description définitive.", "Ρlеasе enable cookies to go on.",
+    "Your session has expired. Please sign in again.", "The pump. [TODO: add model] It is warm.", "The flange bracket <<DEPT>> was replaced.", "LEFT &LT;FIGURE_CAPTION&GT; IN THE HALL.", "Texte provisoire. Merci de saisir ici la description définitive.", "Ρlеasе enable cookies to go on.",
 ]
 CLEAN = [
     "In the form letters a mark such as {{customer_name}} stood for the value that the clerk filled in later.", "Set the shell variable ${HOME_DIR} as shown in the appendix.",

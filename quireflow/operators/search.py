@@ -117,12 +117,20 @@ def score_notes(notes: DataFrame, terms: list[str], page: int | None = None, sco
     return d.withColumn("score", F.col("score") - F.coalesce(F.col("is_generated"), F.lit(False)).cast("int"))
 
 
-def demote_sources(scored: DataFrame) -> DataFrame:
-    """Generated hits of one source lose a point per better hit of that source; ties keep id order."""
+def demote_sources(scored: DataFrame, top: int | None = None) -> DataFrame:
+    """Generated hits of one source lose a point per better hit of that source; ties keep id order.
+
+    Only hits with a source are ranked. With ``top``, hits that ``top`` better ones of their source outdo are left
+    out; that limit is applied before the shuffle, so a source with most of the hits sends few of them.
+    """
     source = F.coalesce("source_doc_id", F.lit(""))
     counted = F.coalesce(F.col("is_generated"), F.lit(False)) & (source != "")
-    w = Window.partitionBy(counted, source).orderBy(F.desc("score"), "id")
-    return scored.withColumn("adjusted", F.when(counted, F.col("score") - F.row_number().over(w) + 1).otherwise(F.col("score")))
+    w = Window.partitionBy("source_doc_id").orderBy(F.desc("score"), "id")
+    ranked = scored.where(counted).withColumn("_r", F.row_number().over(w))
+    if top is not None:
+        ranked = ranked.where(F.col("_r") <= top)
+    ranked = ranked.withColumn("adjusted", F.col("score") - F.col("_r") + 1).drop("_r")
+    return ranked.unionByName(scored.where(~counted).withColumn("adjusted", F.col("score")))
 
 
 def search_notes(notes: DataFrame, query: str, vocabulary: DataFrame | None = None, scope: str = "all", top: int = TOP) -> DataFrame:
@@ -132,7 +140,7 @@ def search_notes(notes: DataFrame, query: str, vocabulary: DataFrame | None = No
     is_generated, note_origin. Null fields match nothing. Without a vocabulary terms are not expanded.
     """
     page, text = parse_page_query(query)
-    hits = demote_sources(score_notes(notes, expand_terms(parse_terms(text), vocabulary), page, scope))
+    hits = demote_sources(score_notes(notes, expand_terms(parse_terms(text), vocabulary), page, scope), top)
     best = hits.orderBy(F.desc("adjusted"), F.desc("score"), "id").limit(top)
     w = Window.orderBy(F.desc("adjusted"), F.desc("score"), "id")
     return best.select(F.row_number().over(w).alias("position"), F.col("adjusted").alias("score"), "id", "note_id", "title", "source_doc_id")

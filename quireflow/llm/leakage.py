@@ -8,8 +8,10 @@ copies; an exact check then says whether a run of the item's words stands in the
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,7 @@ from .normalize import fold
 SEED_WORDS, PASSAGE_WORDS, RARE_SHARE, RARE_DOCS = 5, 15, 0.0003, 20
 #: Smith-Waterman scores by word, and the least score of an edited copy by the item's best possible one.
 MATCH, MISMATCH, GAP, EDITED_SHARE = 2, -1, -1, 0.5
-#: Items are held by every task; larger sets are an error here and must come in blocks of items.
+#: Items are held by every task, so many characters at a time; larger sets are taken in blocks of items.
 MAX_ITEM_CHARS = 20_000_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -179,10 +181,8 @@ def smith_waterman(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
 
 
 def load_items(items: DataFrame, key: str = "item_id", text: str = "text", n: int = SEED_WORDS, passage: int = PASSAGE_WORDS) -> Items:
-    """The items, on the driver. They are a fixed test set; one over ``MAX_ITEM_CHARS`` characters is an error."""
+    """One block of items, on the driver."""
     rows = items.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    if (rows.agg(F.sum(F.length(text))).first()[0] or 0) > MAX_ITEM_CHARS:
-        raise ValueError("too many evaluation items for one run: pass them in blocks")
     form = rows.select(
         F.col(key).alias("k"), word_form(F.col(text)).alias("form"),
         F.array_join(F.transform(F.split(F.col(text), "\\s+"), word_form), "\x1f").alias("tokens"),
@@ -201,6 +201,15 @@ def find_leaks(
     Null keys, null or empty texts and items without words give no row; documents delivered twice count once;
     two items of one text both get rows. Whole texts are read, however long.
     """
+    chars = items.agg(F.sum(F.length(item_text))).first()[0] or 0
+    if chars > MAX_ITEM_CHARS:
+        blocks = 2 * math.ceil(chars / MAX_ITEM_CHARS)
+        part = [items.where(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == k) for k in range(blocks)]
+        return reduce(DataFrame.unionByName, [_leaks(documents, p, key, text, item_key, item_text, n, passage) for p in part])
+    return _leaks(documents, items, key, text, item_key, item_text, n, passage)
+
+
+def _leaks(documents: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, n: int, passage: int) -> DataFrame:
     held = load_items(items, item_key, item_text, n, passage)
     fields = {f.name: f for f in documents.schema.fields}
     ifields = {f.name: f for f in items.schema.fields}

@@ -16,7 +16,7 @@ def sentence(rng, n):
     return " ".join(rng.choice(WORDS) for _ in range(n))
 
 
-def test_leaks_against_brute_force(spark):
+def test_leaks_against_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     items = [(i, sentence(rng, n)) for i, n in enumerate([30, 40, 12, 15, 60, 3])] + [(6, None), (7, ""), (8, "... !!")]
     docs = []
@@ -47,6 +47,8 @@ def test_leaks_against_brute_force(spark):
             want |= {(a, i) for a, x in docs if x and any(tuple(words(x)[j : j + k]) in grams for j in range(len(words(x)) - k + 1))}
     assert got == want and len(want) > 12
     assert leakage.find_leaks(d.limit(0), e).count() == 0
+    monkeypatch.setattr(leakage, "MAX_ITEM_CHARS", 600)  # items in blocks give the same rows
+    assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, e).where("exact").collect()} == want
 
 
 def test_smith_waterman_against_table():

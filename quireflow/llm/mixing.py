@@ -62,8 +62,8 @@ def feasible_total(have: dict[str, tuple[int, float, int]], total: float | None)
 def balance(sized: DataFrame, targets: dict[str, tuple[float, int]], total: float | None = None) -> tuple[dict[str, float], float]:
     """Multiplier by source key, and the total reached. ``sized``: key, tokens, per document.
 
-    The rate of document d is cap * x / (1 + x) with x = exp(a + b * (tokens / mean - 1)): the tilted rate under the
-    constraint rate <= cap, where b = a: one multiplier per source, longer documents are tilted with it.
+    The rate of document d is cap * x / (1 + x) with x = exp(multiplier * tokens / mean tokens of its source): the
+    tilted rate under the constraint rate <= cap.
     """
     sums = {r.key: (int(r.tokens or 0), int(r.n), float(r.mean or 0)) for r in sized.groupBy("key").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"), F.avg("tokens").alias("mean")).collect() if r.key in targets}
     have = {k: (sums[k][0], *targets[k]) for k in sums if sums[k][0] > 0}
@@ -127,24 +127,24 @@ def mix_sources(
     }
     if len(goals) > 10_000:
         raise ValueError("mix_targets is not a short table of sources")
-    docs = documents.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key), source_key(F.col(source)).alias("_s"), F.col(text).alias("_t"))
+    docs = documents.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("_doc"), source_key(F.col(source)).alias("_s"), F.col(text).alias("_t"))
     docs = docs.where(F.col("_s").isin(sorted(goals))) if goals else docs.where(F.lit(False))
-    one = count_tokens(docs, "_t", (key, "_s"), tokenizer).groupBy(key).agg(F.max(F.struct("tokens", "_s")).alias("x"))
-    sized = materialize(one.select(key, F.col("x._s").alias("key"), "x.tokens").where("tokens > 0"))
+    one = count_tokens(docs, "_t", ("_doc", "_s"), tokenizer).groupBy("_doc").agg(F.max(F.struct("tokens", "_s")).alias("x"))
+    sized = materialize(one.select("_doc", F.col("x._s").alias("key"), "x.tokens").where("tokens > 0"))
     lam, _ = balance(sized, goals, total_tokens)
     if not lam:
-        return sized.select(key, F.col("key").alias("source_key"), "tokens", F.lit(0.0).alias("rate"), F.lit(0).alias("copies")).where("copies > 0")
+        return sized.select(F.col("_doc").alias(key), F.col("key").alias("source_key"), "tokens", F.lit(0.0).alias("rate"), F.lit(0).alias("copies")).where("copies > 0")
     sums = {r.key: (0, 0, float(r.mean)) for r in sized.groupBy("key").agg(F.avg("tokens").alias("mean")).collect()}
     have = {k: (0, 0.0, goals[k][1]) for k in lam}
     d = sized.join(F.broadcast(_values(lam, have, sums)), "key").withColumn("rate", _rate(F.col("lam"), F.col("tokens"), F.col("mean"), F.col("cap")))
-    return _round(d, key)
+    return _round(d).select(F.col("_doc").alias(key), "source_key", "tokens", "rate", "copies")
 
 
 #: Documents of one source are rounded in blocks of about this many, so that no task sees a whole source.
 BLOCK = 4096
 
 
-def _round(rated: DataFrame, key: str) -> DataFrame:
+def _round(rated: DataFrame) -> DataFrame:
     """Whole copies with the expected tokens: systematic rounding by tokens inside blocks of each source."""
     from pyspark.sql import Window
 
@@ -152,16 +152,16 @@ def _round(rated: DataFrame, key: str) -> DataFrame:
     blocks = F.lit(1)
     for k, n in sorted(counts.items()):
         blocks = F.when(F.col("key") == k, F.lit(max(1, math.ceil(n / BLOCK)))).otherwise(blocks)
-    h = F.xxhash64(F.col(key).cast("string"))
+    h = F.xxhash64(F.col("_doc").cast("string"))
     d = rated.withColumn("_h", h).withColumn("_b", F.pmod(F.col("_h"), blocks)).withColumn("_floor", F.floor("rate"))
     # running sum of the fractional tokens; a document gets its extra copy where the sum passes a multiple of the step
-    w = Window.partitionBy("key", "_b").orderBy(F.col("tokens"), "_h", F.col(key)).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("key", "_b").orderBy("tokens", "_h", "_doc").rowsBetween(Window.unboundedPreceding, 0)
     run = F.sum(F.col("rate") - F.col("_floor")).over(w)
     start = F.pmod(F.xxhash64("key", "_b"), F.lit(1000)) / 1000.0
     d = d.withColumn("_run", run + start)
     extra = F.floor(F.col("_run")) - F.floor(F.col("_run") - (F.col("rate") - F.col("_floor")))
     copies = F.least(F.col("_floor") + F.greatest(extra, F.lit(0)), F.col("cap")).cast("int")
-    return d.select(key, F.col("key").alias("source_key"), "tokens", "rate", copies.alias("copies")).where("copies > 0")
+    return d.select("_doc", F.col("key").alias("source_key"), "tokens", "rate", copies.alias("copies")).where("copies > 0")
 
 
 def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:

@@ -148,16 +148,18 @@ def canonical_forms(records: DataFrame, text: str = "text") -> DataFrame:
 
     Look-alike-mapped values are grouped under the accent- and case-sensitive UNICODE collation; the smallest
     member (by code points) of a class stands for it and is joined back. Null gives null, '' gives ''. Rows,
-    repeated ones too, and all other columns are kept.
+    repeated ones too, and all other columns are kept; a column ``canonical`` is replaced.
     """
     value = F.col(text)
     hashed = _hashed(records, text)
     mapping = _variants(records, hashed, text)
-    base = records.withColumn("_fold", fold(value))
+    names = [c for c in records.columns if c != "canonical"]
+    base = records.select(*names, fold(value).alias("__looks_fold"))
     if mapping is None:
-        return base.withColumnRenamed("_fold", "canonical")
-    out = base.join(mapping, base["_fold"] == mapping["member"], "left")
-    return out.select(*[base[c] for c in records.columns], F.coalesce("chosen", "_fold").alias("canonical"))
+        return base.withColumnRenamed("__looks_fold", "canonical")
+    to = mapping.select(F.col("member").alias("__looks_member"), F.col("chosen").alias("__looks_chosen"))
+    out = base.join(to, F.col("__looks_fold") == F.col("__looks_member"), "left")
+    return out.select(*names, F.coalesce("__looks_chosen", "__looks_fold").alias("canonical"))
 
 
 def look_alike_pairs(records: DataFrame, field: str = "field", key: str = "key", text: str = "text") -> DataFrame:

@@ -73,15 +73,15 @@ def remove_repeated_lines(
 
     Lines are counted over ``records``; with ``only``, the rows of that table (of the same columns) are rebuilt.
     A header (``split`` off) that is repeated becomes ''. A text of repeated lines only becomes ''. Null
-    texts stay null.
+    texts stay null. Extra columns may have any names.
     """
     hit = find_repeated_lines(records, doc, pos, text, split, min_records, min_share)
-    per = hit.groupBy(F.col(doc).alias("_d"), F.col(pos).alias("_p")).agg(F.collect_set("line_no").alias("_gone"))
+    per = hit.groupBy(F.col(doc).alias("__lines_d"), F.col(pos).alias("__lines_p")).agg(F.collect_set("line_no").alias("__lines_gone"))
     rows = records if only is None else only
-    both = rows.join(per, (rows[doc] == F.col("_d")) & (rows[pos] == F.col("_p")), "left")
+    both = rows.join(per, (rows[doc] == F.col("__lines_d")) & (rows[pos] == F.col("__lines_p")), "left")
     if split:
-        kept = F.array_join(F.filter(F.split(rows[text], "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i + 1)), "\n")
-        new = F.when(F.col("_gone").isNull(), rows[text]).otherwise(kept)
+        kept = F.array_join(F.filter(F.split(rows[text], "\n"), lambda x, i: ~F.array_contains(F.col("__lines_gone"), i + 1)), "\n")
+        new = F.when(F.col("__lines_gone").isNull(), rows[text]).otherwise(kept)
     else:
-        new = F.when(F.col("_gone").isNull() | rows[text].isNull(), rows[text]).otherwise(F.lit(""))
+        new = F.when(F.col("__lines_gone").isNull() | rows[text].isNull(), rows[text]).otherwise(F.lit(""))
     return both.select(*[new.alias(c) if c == text else rows[c] for c in rows.columns])

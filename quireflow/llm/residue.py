@@ -205,5 +205,5 @@ def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
 def without_residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` without those of ``find_residue``; all columns, and rows of null key or text, are kept."""
-    bad = find_residue(documents, key, text).select(F.col(key).alias("_bad")).distinct()
-    return documents.join(bad, documents[key] == F.col("_bad"), "left_anti")
+    bad = find_residue(documents, key, text).select(F.col(key).alias("__residue_key")).distinct()
+    return documents.join(bad, documents[key] == F.col("__residue_key"), "left_anti")

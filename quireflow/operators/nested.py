@@ -107,7 +107,13 @@ def _rows(records: DataFrame, keys: list[str], branch: Branch) -> DataFrame:
         at = step
     pos = [f"pos{k}" for k in range(1, len(steps) + 1)]
     leaves, _ = _inline(t, ())
-    columns = [_get(F.col("_e"), p).alias(f"f_{n}" if n in {*keys, *pos, "path"} else n) for p, n in leaves if p]
+    used, columns = {*keys, *pos, "path"}, []
+    for p, n in leaves:
+        if p:
+            while n in used:
+                n = f"f_{n}"
+            used.add(n)
+            columns.append(_get(F.col("_e"), p).alias(n))
     if not isinstance(t, (T.StructType, T.ArrayType, T.MapType)):
         columns = [F.col("_e").alias("value")]
     return d.select(*keys, *pos, F.lit(".".join(branch.path)).alias("path"), *columns)
@@ -119,11 +125,19 @@ def flatten_records(records: DataFrame, keys: list[str]) -> dict[str, DataFrame]
     Positions count array elements from 1, null ones included, but a null element gives no row; null and empty
     arrays give none. Map entries are numbered in stored order. Repeated records, or versions of one key whose
     nested parts are equal, give each row once; where versions differ, all their rows stand. Records with a null
-    key keep it. A leaf whose name clashes with a key or position column is prefixed ``f_``.
+    key keep it. A leaf whose name clashes with a key, a position column or another leaf is prefixed ``f_``.
     """
     plan = plan_tables(records.schema)
-    taken = set(keys)
-    out = {"root": records.select(*keys, *[_get(F.col(p[0]), p[1:]).alias(n) for p, n in plan.root if n not in taken]).distinct()}
+    used = set(keys)
+    columns = []
+    for path, name in plan.root:
+        if len(path) == 1 and path[0] in keys:
+            continue
+        while name in used:
+            name = f"f_{name}"
+        used.add(name)
+        columns.append(_get(F.col(path[0]), path[1:]).alias(name))
+    out = {"root": records.select(*keys, *columns).distinct()}
     for name, branches in plan.branches.items():
         rows = _rows(records, keys, branches[0])
         for b in branches[1:]:

@@ -175,7 +175,12 @@ def look_alike_pairs(records: DataFrame, field: str = "field", key: str = "key",
         to = mapping.select(F.xxhash64("member").alias("c1"), F.xxhash64("chosen").alias("d1"), F.xxhash64(F.lit(1), "chosen").alias("d2"))
         hashed = hashed.join(to, "c1", "left").select("field", "key", "t", F.coalesce("d1", "c1").alias("c1"), F.coalesce("d2", "c2").alias("c2"))
     mixed = hashed.groupBy("field", "c1", "c2").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    kept = hashed.join(mixed, ["field", "c1", "c2"], "left_semi")
-    a = kept.select("field", "c1", "c2", F.col("key").alias("key_a"), F.col("t").alias("ta"))
-    b = kept.select("field", "c1", "c2", F.col("key").alias("key_b"), F.col("t").alias("tb"))
-    return a.join(b, ["field", "c1", "c2"]).where("key_a < key_b and ta <> tb").select("field", "key_a", "key_b").distinct()
+    look = ["field", "c1", "c2"]
+    kept = hashed.join(mixed, look, "left_semi").select(*look, "key", "t")
+    # texts are paired first and records after, so that copies of one text never meet each other
+    texts = kept.select(*look, "t").distinct()
+    other = texts.withColumnRenamed("t", "tb")
+    pairs = texts.withColumnRenamed("t", "ta").join(other, look).where("ta <> tb")
+    a = kept.select(*look, F.col("key").alias("key_a"), F.col("t").alias("ta"))
+    b = kept.select(*look, F.col("key").alias("key_b"), F.col("t").alias("tb"))
+    return a.join(pairs, [*look, "ta"]).join(b, [*look, "tb"]).where("key_a < key_b").select("field", "key_a", "key_b").distinct()

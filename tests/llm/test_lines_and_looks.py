@@ -105,3 +105,10 @@ def test_pairs_against_brute_force(spark):
     want = {(f, a, b) for f, a, s in recs for g, b, t in recs if f == g and a < b and s != t and plain_fold(s) == plain_fold(t)}
     assert got == want and len(want) == 7
     assert normalize.look_alike_pairs(d.limit(0)).count() == 0
+
+
+def test_many_copies_of_one_text_do_not_meet(spark):
+    """3,000 copies and two variants: 2 x 3,000 + 1 pairs, and no join over the 9 million pairs of copies."""
+    d = spark.range(3000).selectExpr("'f' AS field", "concat('k', id) AS key", "'same text' AS text")
+    d = d.unionByName(spark.createDataFrame([("f", "v1", "sаme text"), ("f", "v2", "same​ text")], "field string, key string, text string"))
+    assert normalize.look_alike_pairs(d).count() == 6001

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -60,9 +61,12 @@ def materialize(df: DataFrame) -> DataFrame:
 @atexit.register
 def _delete_written() -> None:
     for spark, path in _WRITTEN:
+        local = path.removeprefix("file:")
+        if local.startswith("/"):
+            shutil.rmtree("/" + local.lstrip("/"), ignore_errors=True)
+            continue
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session is gone already
             return

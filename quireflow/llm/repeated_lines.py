@@ -47,7 +47,7 @@ def _frequent(lines: DataFrame, records: DataFrame, doc: str, pos: str, min_reco
         records.select(F.col(doc).alias("d"), F.col(pos).alias("p")).where("d is not null and p is not null")
         .distinct().groupBy("d").agg(F.count("*").alias("records"))
     )
-    return counts.join(sizes, "d").where(F.col("count") >= F.col("records") * F.lit(min_share)).select("d", "h")
+    return counts.join(sizes, "d").where(F.col("count") >= F.col("records") * F.lit(min_share) - 1e-9).select("d", "h")
 
 
 def find_repeated_lines(

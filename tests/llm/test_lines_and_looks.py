@@ -28,6 +28,9 @@ def test_share_threshold_and_ties(spark):
     fifty = ["same line here\nz"] * 5 + [f"only {chr(97 + i % 26)}{chr(97 + i // 26)} q" for i in range(45)]
     d = spark.createDataFrame(rows(fifty, "a") + rows([*fifty, "one more"], "b"), SCHEMA)
     got = repeated_lines.find_repeated_lines(d).collect()
+    # 7 of 70, where 70 * 0.1 is a little more than 7 in binary
+    seventy = ["same line here"] * 7 + [f"only {chr(97 + i % 26)}{chr(97 + i // 26)} q" for i in range(63)]
+    assert repeated_lines.find_repeated_lines(spark.createDataFrame(rows(seventy, "c"), SCHEMA)).count() == 7
     # the line 'z' stands in the same five chunks
     assert {(r.doc_id, r.line_no) for r in got} == {("a", 1), ("a", 2)} and len(got) == 10
 

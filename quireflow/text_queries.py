@@ -202,7 +202,7 @@ WITH {_MARKED}, l AS (SELECT doc_id, p, i, line FROM (SELECT doc_id, p, unnest(s
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS f, row_number() OVER (PARTITION BY doc_id, p ORDER BY i DESC) AS g, count(*) OVER (PARTITION BY doc_id, p) AS n FROM l),
 k AS (SELECT DISTINCT doc_id, p, {_hkey("line")} AS key FROM r WHERE least(f, g) <= least(3, greatest(1, n // 4)) AND length({_strip("line")}) <= 160 AND regexp_matches(line, '[A-Za-z]')),
 z AS (SELECT doc_id, count(*) AS pages FROM m1 GROUP BY doc_id)
-SELECT doc_id, key FROM k JOIN z USING (doc_id) GROUP BY doc_id, key, pages HAVING count(*) >= greatest(3, ceil(pages * 0.10))""",
+SELECT doc_id, key FROM k JOIN z USING (doc_id) GROUP BY doc_id, key, pages HAVING count(*) >= greatest(3, ceil(pages * CAST(0.10 AS DOUBLE)))""",
     "smallest_factors": """
 WITH n AS (SELECT DISTINCT page_start AS n FROM chunks WHERE page_start > 1)
 SELECT n, CAST((SELECT min(d) FROM range(2, 100000) r(d) WHERE d <= n.n AND n.n % d = 0) AS INTEGER) AS factor FROM n""",

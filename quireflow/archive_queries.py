@@ -64,7 +64,7 @@ def search_notes_page(spark: SparkSession, root: str) -> DataFrame:
 def search_structural(spark: SparkSession, root: str) -> DataFrame:
     """Documents of more than 30 chunks count as stored structurally, so that small test tables have some."""
     mode = F.when(F.col("chunk_count") > 30, "structural_only").otherwise("persistent")
-    return search.search_structural(_entries(spark, root), _registry(spark, root).withColumn("chunk_storage_mode", mode), QUERY)
+    return search.search_structural(_entries(spark, root), _registry(spark, root).withColumn("chunk_storage_mode", mode), QUERY).drop("category_parts")
 
 
 def entry_scores(spark: SparkSession, root: str) -> DataFrame:
@@ -314,7 +314,7 @@ ORACLES = {
     "search_notes": _top_notes(_TERMS),
     "search_notes_scope": _top_notes(_TERMS, "manual"),
     "search_notes_page": _top_notes(search.parse_terms(_REST), page=_PAGE),
-    "search_structural": f"WITH {_STRUCTURAL} SELECT * FROM hits",
+    "search_structural": f"WITH {_STRUCTURAL} SELECT * EXCLUDE (category_parts) FROM hits",
     "entry_scores": f"WITH {_entry_score(search.parse_terms(_REST), _PAGE)} SELECT doc_id, entry_index, CAST(score AS INTEGER) AS score FROM es WHERE score > 0",
     "search_federated": _note_score(_TERMS)
     + f""", nh AS (SELECT 0 AS engine, row_number() OVER (ORDER BY adjusted DESC, score DESC, id) AS position, adjusted AS score, CAST(id AS VARCHAR) AS id, title FROM (SELECT * FROM d ORDER BY adjusted DESC, score DESC, id LIMIT 5)),

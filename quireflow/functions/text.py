@@ -13,6 +13,8 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 PUNCTUATION = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "−": "-", "\u00a0": " "}
 # Runs of private-use glyphs of a symbol font and the delimiter they draw.
 MATH_GLYPHS = {"\\x{F0E6}-\\x{F0E8}": "(", "\\x{F0F6}-\\x{F0F8}": ")", "\\x{F0E9}-\\x{F0EB}": "[", "\\x{F0F9}-\\x{F0FB}": "]", "\\x{F0EC}-\\x{F0EF}": "{", "\\x{F0FC}-\\x{F0FE}": "}"}
+# Edges of words: letters, digits and underscores make words, combining marks do not.
+BEGIN, END = "(?<![\\p{L}\\p{N}_])", "(?![\\p{L}\\p{N}_])"
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -47,11 +49,11 @@ def join_broken_words(c: Column) -> Column:
 
 def join_single_letters(c: Column) -> Column:
     """``a n d`` to ``an d``: neighbouring single letters are joined in one pass, which is the fixpoint."""
-    return F.regexp_replace(c, "\\b([a-z]) ([a-z])\\b", "$1$2")
+    return F.regexp_replace(c, f"{BEGIN}([a-z]) ([a-z]){END}", "$1$2")
 
 
 # The three spaced-apostrophe patterns, in their order.
-APOSTROPHES = ("\\b([A-Za-z]+)(?U:\\s)+'(?U:\\s)+([A-Za-z]+)\\b", "\\b([A-Za-z]+)'(?U:\\s)+([A-Za-z]+)\\b", "\\b([A-Za-z]+)(?U:\\s)+'([A-Za-z]+)\\b")
+APOSTROPHES = (f"{BEGIN}([A-Za-z]+)(?U:\\s)+'(?U:\\s)+([A-Za-z]+){END}", f"{BEGIN}([A-Za-z]+)'(?U:\\s)+([A-Za-z]+){END}", f"{BEGIN}([A-Za-z]+)(?U:\\s)+'([A-Za-z]+){END}")
 
 
 def tighten_apostrophes(c: Column) -> Column:
@@ -66,7 +68,7 @@ def collapse_blanks(c: Column) -> Column:
 
 def join_letter_prefix(c: Column) -> Column:
     """Optional repair of ``i ndicate``; not part of ``clean_text``."""
-    return F.regexp_replace(c, "\\b([a-z]) ([a-z]{2,})\\b", "$1$2")
+    return F.regexp_replace(c, f"{BEGIN}([a-z]) ([a-z]{{2,}}){END}", "$1$2")
 
 
 def clean_text(c: Column) -> Column:

@@ -158,7 +158,8 @@ WITH a AS (SELECT doc_id, replace(replace(replace(replace(text, chr(13) || chr(1
 b AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(t, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬅ', 'ft'), 'ﬆ', 'st') AS t FROM a),
 c AS (SELECT doc_id, translate(t, '‘’“”–—−' || chr(160), '''''""--- ') AS t FROM b),
 d AS (SELECT doc_id, regexp_replace(t, '([A-Za-z])-\\n([A-Za-z])', '\\1\\2', 'g') AS t FROM c),
-e AS (SELECT doc_id, regexp_replace(t, '(^|[^\\p{{L}}\\p{{N}}_])([a-z]) ([a-z])($|[^\\p{{L}}\\p{{N}}_])', '\\1\\2\\3\\4', 'g') AS t FROM d),
+e0 AS (SELECT doc_id, regexp_replace(t, '(^|[^\\p{{L}}\\p{{N}}_])([a-z]) ([a-z])($|[^\\p{{L}}\\p{{N}}_])', '\\1\\2\\3\\4', 'g') AS t FROM d),
+e AS (SELECT doc_id, regexp_replace(t, '(^|[^\\p{{L}}\\p{{N}}_])([a-z]) ([a-z])($|[^\\p{{L}}\\p{{N}}_])', '\\1\\2\\3\\4', 'g') AS t FROM e0),
 f AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '([A-Za-z]+)\\s+''\\s+([A-Za-z]+)', '\\1''\\2', 'g'), '([A-Za-z]+)''\\s+([A-Za-z]+)', '\\1''\\2', 'g'), '([A-Za-z]+)\\s+''([A-Za-z]+)', '\\1''\\2', 'g') AS t FROM e)
 SELECT doc_id, {_strip("regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]+\\n', chr(10), 'g'), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS clean FROM f""",
     "heading_keys": f"""

@@ -6,11 +6,12 @@ import os
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.text import path_parts, strip
+from ..plans.ordering import numbered
 
 _LIST = {"tags": ("tag", "tags"), "aliases": ("alias", "aliases")}
 
@@ -25,7 +26,7 @@ def scan_notes(spark: SparkSession, root: str) -> DataFrame:
     raw = spark.read.text(roots, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
     tail = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^" + re.escape(base.rstrip("/")).replace("file:", "file:/*") + "/", "")
     d = parse_notes(raw.withColumn("relative_path", F.regexp_replace(tail, "^file:/*" + re.escape(os.path.abspath(root).lstrip("/")) + "/", "")))
-    return d.withColumn("id", F.row_number().over(Window.orderBy("relative_path")).cast("long") - 1)
+    return numbered(d, "id", "relative_path")
 
 
 def parse_notes(files: DataFrame) -> DataFrame:

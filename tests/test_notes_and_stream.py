@@ -74,3 +74,12 @@ def test_stream_ingests_each_file_once(spark, tmp_path):
     stream.start(spark, src, out, cp).awaitTermination()
     got = spark.read.parquet(os.path.join(out, "structural_index"))
     assert sorted(r.section_heading for r in got.collect()) == ["METHODS", "RESULTS"]
+
+
+def test_positions(spark):
+    from quireflow.plans.ordering import numbered
+
+    d = spark.range(5000).selectExpr("(id * 7919) % 5000 AS v", "'x' AS w").repartition(7)
+    got = numbered(d, "place", "v").collect()
+    assert len(got) == 5000 and all(r.v == r.place for r in got)
+    assert numbered(d.limit(0), "place", "v").count() == 0

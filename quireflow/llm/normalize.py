@@ -92,6 +92,19 @@ def _compose(c: Column) -> Column:
     return c
 
 
+@lru_cache(maxsize=1)
+def _foldable() -> str:
+    """A pattern that finds any character ``fold`` changes; ASCII fails its first test."""
+    points = sorted({*map(ord, _one_to_one()[0]), *map(ord, LIGATURES), *range(0x300, 0x370)})
+    ranges: list[list[int]] = []
+    for c in points:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[\\x{80}-\\x{10FFFF}&&[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]]"
+
+
 def fold(text: Column) -> Column:
     """The look-alike form of ``text``; null stays null, letter case and accents stay apart."""
     src, dst = _one_to_one()
@@ -99,7 +112,7 @@ def fold(text: Column) -> Column:
     for lig, letters in LIGATURES.items():
         t = F.replace(t, F.lit(lig), F.lit(letters))
     wide = F.when(t.rlike("[\\u0300-\\u036f]"), _compose(t)).otherwise(t)
-    return F.when(F.length(text) == F.octet_length(text), text).otherwise(wide)
+    return F.when(F.length(text) == F.octet_length(text), text).when(~text.rlike(_foldable()), text).otherwise(wide)
 
 
 #: Up to so many 64-bit hashes are sent to all tasks; more are joined by shuffle.

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -161,13 +162,11 @@ def evidence(text: str) -> list[tuple[str, bool, str, str]]:
 
 
 def _suspect(folded: Column) -> Column:
-    low = F.lower(folded)
-    c = F.lit(False)
-    for m in _MARKS:
-        c = c | F.contains(folded, F.lit(m))
-    for w in _WORDING:
-        c = c | F.contains(low, F.lit(w))
-    return c | folded.rlike("%[A-Za-z_ ]{2,40}%") | F.concat(folded, F.lit(" ")).rlike("(?:^|\\s)((?:\\S{1,12}\\s+){1,3}?)\\1\\1")
+    any_of = lambda c, words: reduce(lambda x, y: x | y, [F.contains(c, F.lit(w)) for w in words])
+    # inside a lambda, so that the text is lowered once and not for every word
+    worded = F.exists(F.array(F.lower(folded)), lambda low: any_of(low, _WORDING))
+    run = F.concat(folded, F.lit(" ")).rlike("(?:^|\\s)((?:\\S{1,12}\\s+){1,3}?)\\1\\1")
+    return any_of(folded, _MARKS) | folded.rlike("%[A-Za-z_ ]{2,40}%") | worded | run
 
 
 def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text", min_support: int = MIN_SUPPORT) -> DataFrame:
@@ -177,7 +176,8 @@ def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text",
     keys and null or empty texts give no row. Letter case, look-alikes and wrapped lines make no difference.
     """
     fields = {f.name: f for f in documents.schema.fields}
-    rows = documents.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("_k"), fold(F.col(text)).alias("_t"))
+    rows = documents.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("_k"), F.explode(F.array(fold(F.col(text)))).alias("_t"))
+    # exploding one value keeps the planner from repeating the fold in every term of the filter
     rows = rows.where(_suspect(F.col("_t")))
     schema = T.StructType(
         [T.StructField(key, fields[key].dataType), T.StructField("text_hash", T.LongType()), T.StructField("kind", T.StringType())]

@@ -1,9 +1,9 @@
 """Problem 7: passages of evaluation items inside corpus documents.
 
-Rare word n-grams of the items are the seeds: one pass over the corpus counts in how many documents each
-n-gram of an item stands; frequent ones are dropped, except where a passage would be left without a seed.
-Documents that hold a seed are aligned with the item by Smith-Waterman on words, which also scores edited
-copies; an exact check then says whether a run of the item's words stands in the document whole.
+Every word n-gram of an item is a seed, however many documents hold it, so that the pairs found do not depend
+on the size of the corpus. In one pass over the corpus, documents that hold a seed are scored against the item by
+Smith-Waterman on words, which also finds edited copies; an exact check says whether a run of the item's words
+stands in the document whole; the place of the alignment is worked out for the pairs that are kept.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -19,11 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
 from .normalize import fold
 
-#: Words of a seed; words of a passage that counts; a seed is rare in at most this share (and at least RARE_DOCS) of documents.
-SEED_WORDS, PASSAGE_WORDS, RARE_SHARE, RARE_DOCS = 5, 15, 0.0003, 20
+#: Words of a seed; words of a passage that counts.
+SEED_WORDS, PASSAGE_WORDS = 5, 15
 #: Smith-Waterman scores by word, and the least score of an edited copy by the item's best possible one.
 MATCH, MISMATCH, GAP, EDITED_SHARE = 2, -1, -1, 0.5
 #: Items are held by every task, so many characters at a time; larger sets are taken in blocks of items.
@@ -51,6 +51,14 @@ def _grams(ids: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+class Text(NamedTuple):
+    """A text's words as ids of the items' vocabulary (0: none), run together, and one by one."""
+
+    ids: np.ndarray
+    squeezed: str
+    words: list[str]
+
+
 class Items:
     """The evaluation items with their words, n-grams and exact passages."""
 
@@ -60,6 +68,7 @@ class Items:
         self.vocabulary: dict[str, int] = {}
         self.words: dict[int, np.ndarray] = {}
         self.exact: dict[int, list[str]] = {}
+        self.anchors: dict[int, list[str]] = {}
         for item, form, tokens in rows:
             words = form.split()
             if not words:
@@ -68,9 +77,16 @@ class Items:
             t = [x for x in (re.sub(r"\s", "", y) for y in tokens.split("\x1f")) if x]
             k = min(passage, len(t))
             self.exact[item] = list(dict.fromkeys("".join(t[i : i + k]) for i in range(len(t) - k + 1)))
+            b = (k + 1) // 2  # k words in a row hold one of these blocks whole
+            self.anchors[item] = list(dict.fromkeys("".join(t[i : i + b]) for i in range(0, len(t) - b + 1, max(1, b))))
         self.by_item = {i: _grams(w, min(n, len(w))) for i, w in self.words.items()}
         self.sizes = sorted({min(n, len(w)) for w in self.words.values()})
         self.keys = {s: np.unique(np.concatenate([g for i, g in self.by_item.items() if min(n, len(self.words[i])) == s])) for s in self.sizes}
+        # seeds in order, and whose they are
+        self.ids = list(self.by_item)
+        grams = np.concatenate([*self.by_item.values(), np.empty(0, np.uint64)])
+        order = np.argsort(grams, kind="stable")
+        self.seeds, self.owners = grams[order], np.repeat(np.arange(len(self.ids)), [len(g) for g in self.by_item.values()])[order]
 
     def hits(self, form: str) -> np.ndarray:
         """The distinct item n-grams in a text."""
@@ -89,43 +105,81 @@ class Items:
             out.append(g[keys[at] == g])
         return np.unique(np.concatenate(out)) if out else np.empty(0, dtype=np.uint64)
 
-    def seeds(self, frequency: dict[int, int], most: float) -> list[tuple[int, int]]:
-        """(n-gram as signed 64 bits, item_id): rare ones, and the rarest of each passage that has none."""
-        out: set[tuple[int, int]] = set()
-        for item, grams in self.by_item.items():
-            df = np.array([frequency.get(int(g), 0) for g in grams.view(np.int64)])
-            span = min(len(grams), self.passage - self.n + 1)
-            keep = df <= most
-            for i in range(len(grams) - span + 1):
-                if not keep[i : i + span].any():
-                    keep[i + int(df[i : i + span].argmin())] = True
-            out.update((int(g), item) for g in grams.view(np.int64)[keep])
-        return sorted(out)
-
-    def align(self, item: int, forms: list[str]) -> list[tuple[int, int, int, bool]]:
-        """(score, first and last word of the best local alignment, an exact passage is there) for each text."""
-        get = self.vocabulary.get
-        words = [f.split() for f in forms]
-        ids = [np.array([get(w, 0) for w in ws], dtype=np.int32) for ws in words]
-        return [(*x, self._whole(item, ws)) for x, ws in zip(smith_waterman_many(ids, self.words[item].astype(np.int32)), words)]
+    def candidates(self, form: str) -> list[int]:
+        """The items that have a seed in common with a text."""
+        g = self.hits(form)
+        at, to = np.searchsorted(self.seeds, g, "left"), np.searchsorted(self.seeds, g, "right")
+        return [self.ids[k] for k in np.unique(np.concatenate([*(self.owners[a:b] for a, b in zip(at, to)), np.empty(0, np.int64)]))]
 
-    def _whole(self, item: int, words: list[str]) -> bool:
+    def align(self, item: int, texts: list[Text], least: float = 0.0) -> list[tuple[int, int, int, int, bool]]:
+        """(position in ``texts``, score, first and last word of the best local alignment, an exact passage is there).
+
+        Texts that score below ``least`` of the item's best and hold no exact passage are left out.
+        """
+        words = self.words[item].astype(np.int32)
+        scores = smith_waterman_scores([t.ids for t in texts], words)
+        whole = [self._whole(item, t) for t in texts]
+        kept = [k for k, (s, x) in enumerate(zip(scores, whole)) if x or s >= least * MATCH * len(words)]
+        return [(k, *x, whole[k]) for k, x in zip(kept, smith_waterman_many([texts[k].ids for k in kept], words))]
+
+    def text(self, form: str) -> Text:
+        words, get = form.split(), self.vocabulary.get
+        return Text(np.array([get(w, 0) for w in words], dtype=np.int32), "".join(words), words)
+
+    def _whole(self, item: int, text: Text) -> bool:
         """Some passage of the item stands in the text, from the start of a word to the end of one."""
-        squeezed = "".join(words)
+        squeezed = text.squeezed
+        if not any(x in squeezed for x in self.anchors[item]):
+            return False
         edges: set[int] | None = None
         for x in self.exact[item]:
             at = squeezed.find(x)
             while at >= 0:
                 if edges is None:
-                    edges = {0, *np.cumsum([len(w) for w in words]).tolist()}
+                    edges = {0, *np.cumsum([len(w) for w in text.words]).tolist()}
                 if at in edges and at + len(x) in edges:
                     return True
                 at = squeezed.find(x, at + 1)
         return False
 
 
-#: Cells of one block of texts that are aligned together.
-BLOCK_CELLS = 400_000
+#: Cells of one block of texts that are aligned together, and of one diagonal of texts that are scored together.
+BLOCK_CELLS, DIAGONAL_CELLS = 400_000, 16_000
+
+
+def smith_waterman_scores(docs: list[np.ndarray], item: np.ndarray) -> list[int]:
+    """The scores of ``smith_waterman_many`` without the places: all texts of a block advance by one diagonal at a time."""
+    size = len(item)
+    kind = np.int16 if MATCH * size < 30_000 else np.int32
+    known, own = np.unique(item, return_inverse=True)
+    own = own.astype(kind)[:, None]
+    out = [0] * len(docs)
+    order = sorted((i for i in range(len(docs)) if len(docs[i])), key=lambda i: len(docs[i]))
+    while order:
+        width = len(docs[order[-1]])
+        rows = [order.pop() for _ in range(min(len(order), max(1, DIAGONAL_CELLS // size)))]
+        # last word first, with size - 1 words that match nothing on both sides
+        block = np.full((width + 2 * size - 2, len(rows)), -1, dtype=kind)
+        for k, i in enumerate(rows):
+            at = np.searchsorted(known, docs[i])
+            at[at == len(known)] = 0
+            block[size - 1 + width - len(docs[i]) : size - 1 + width, k] = np.where(known[at] == docs[i], at, -1)[::-1]
+        # row r + 1 of a diagonal: the item's word r against the text's word d - r
+        before, last, new = (np.zeros((size + 1, len(rows)), dtype=kind) for _ in range(3))
+        best = np.zeros((size, len(rows)), dtype=kind)
+        for d in range(width + size - 1):
+            begin = size - 1 + width - 1 - d
+            cell = np.where(block[begin : begin + size] == own, kind(MATCH), kind(MISMATCH))
+            cell += before[:-1]
+            gap = np.maximum(last[:-1], last[1:])
+            gap += kind(GAP)
+            np.maximum(cell, gap, out=cell)
+            np.maximum(cell, 0, out=new[1:])
+            np.maximum(best, new[1:], out=best)
+            before, last, new = last, new, before
+        for i, s in zip(rows, best.max(0).tolist()):
+            out[i] = s
+    return out
 
 
 def smith_waterman_many(docs: list[np.ndarray], item: np.ndarray) -> list[tuple[int, int, int]]:
@@ -192,12 +246,13 @@ def load_items(items: DataFrame, key: str = "item_id", text: str = "text", n: in
 
 def find_leaks(
     documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-    item_text: str = "text", n: int = SEED_WORDS, passage: int = PASSAGE_WORDS,
+    item_text: str = "text", n: int = SEED_WORDS, passage: int = PASSAGE_WORDS, least: float = 0.0,
 ) -> DataFrame:
     """(doc_id, item_id, score, score_share, first_word, last_word, exact), one row per document and item with a seed in common.
 
     score: Smith-Waterman score of the best local alignment; score_share: by the best score the item allows;
     exact: ``passage`` consecutive words of the item (all of them, if it has fewer) stand in the document.
+    least: rows of a smaller score_share are left out unless they are exact.
     Null keys, null or empty texts and items without words give no row; documents delivered twice count once;
     two items of one text both get rows. Whole texts are read, however long.
     """
@@ -205,30 +260,15 @@ def find_leaks(
     if chars > MAX_ITEM_CHARS:
         blocks = 2 * math.ceil(chars / MAX_ITEM_CHARS)
         part = [items.where(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == k) for k in range(blocks)]
-        return reduce(DataFrame.unionByName, [_leaks(documents, p, key, text, item_key, item_text, n, passage) for p in part])
-    return _leaks(documents, items, key, text, item_key, item_text, n, passage)
+        return reduce(DataFrame.unionByName, [_leaks(documents, p, key, text, item_key, item_text, n, passage, least) for p in part])
+    return _leaks(documents, items, key, text, item_key, item_text, n, passage, least)
 
 
-def _leaks(documents: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, n: int, passage: int) -> DataFrame:
+def _leaks(documents: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, n: int, passage: int, least: float) -> DataFrame:
     held = load_items(items, item_key, item_text, n, passage)
     fields = {f.name: f for f in documents.schema.fields}
     ifields = {f.name: f for f in items.schema.fields}
-    docs = documents.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
-    hit_type = T.StructType([T.StructField("_doc", fields[key].dataType), T.StructField("gram", T.LongType())])
-
-    def seek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [held.hits(t) for t in pdf["_form"]]
-            yield pd.DataFrame({"_doc": np.repeat(pdf["_doc"].to_numpy(), [len(x) for x in found]), "gram": np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)})
-
-    forms = docs.select("_doc", word_form(F.col("_text")).alias("_form"))
-    hits = materialize(forms.mapInPandas(seek, hit_type))
-    frequency = {r.gram: r.n for r in hits.groupBy("gram").agg(F.count("*").alias("n")).collect()}  # at most the items' n-grams
-    seeds = held.seeds(frequency, max(RARE_DOCS, RARE_SHARE * documents.select(key).count()))
-    spark = documents.sparkSession
-    seed_df = spark.createDataFrame(seeds, T.StructType([T.StructField("gram", T.LongType()), T.StructField("_item", ifields[item_key].dataType)]))
-    pairs = hits.join(F.broadcast(seed_df), "gram").groupBy("_doc").agg(F.collect_set("_item").alias("_items"))
-    both = docs.join(pairs, "_doc").select("_doc", "_items", word_form(F.col("_text")).alias("_form")).distinct()
+    docs = documents.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("_doc"), word_form(F.col(text)).alias("_form"))
     out = T.StructType(
         [T.StructField(key, fields[key].dataType), T.StructField(item_key, ifields[item_key].dataType)]
         + [T.StructField("score", T.LongType()), T.StructField("score_share", T.DoubleType())]
@@ -237,15 +277,18 @@ def _leaks(documents: DataFrame, items: DataFrame, key: str, text: str, item_key
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows, by_item = [], {}
-            for k, its in enumerate(pdf["_items"]):
-                for i in its:
-                    by_item.setdefault(i, []).append(k)
-            docs, forms = pdf["_doc"].tolist(), pdf["_form"].tolist()
+            rows, docs, by_item = [], [], {}
+            for doc, form in zip(pdf["_doc"].tolist(), pdf["_form"]):
+                its = held.candidates(form)
+                if its:
+                    t = held.text(form)
+                    docs.append(doc)
+                    for i in its:
+                        by_item.setdefault(i, []).append((len(docs) - 1, t))
             for i, at in sorted(by_item.items()):
                 most = MATCH * len(held.words[i])
-                for k, (s, a, b, exact) in zip(at, held.align(i, [forms[k] for k in at])):
-                    rows.append((docs[k], i, s, s / most, a, b, exact))
+                for k, s, a, b, exact in held.align(i, [t for _, t in at], least):
+                    rows.append((docs[at[k][0]], i, s, s / most, a, b, exact))
             yield pd.DataFrame(rows, columns=out.names)
 
-    return both.mapInPandas(score, out)
+    return docs.mapInPandas(score, out).distinct()

@@ -81,13 +81,13 @@ def p6_statistics(spark: SparkSession, root: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents with a passage of an evaluation item."""
-    leaks = leakage.find_leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+    leaks = leakage.find_leaks(table(spark, root, "documents"), table(spark, root, "eval_items"), least=leakage.EDITED_SHARE)
     return leaks.where("exact").select("doc_id", "item_id").distinct()
 
 
 def p7_edited(spark: SparkSession, root: str) -> DataFrame:
     """Documents with an edited or partial copy: the alignment reaches half of the item's best score."""
-    leaks = leakage.find_leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+    leaks = leakage.find_leaks(table(spark, root, "documents"), table(spark, root, "eval_items"), least=leakage.EDITED_SHARE)
     return leaks.where(F.col("score_share") >= leakage.EDITED_SHARE)
 
 

@@ -72,6 +72,27 @@ def test_edited_copy_scores(spark):
     assert r[1].score_share > 0.6 and not r[1].exact and (2 not in r or r[2].score_share < 0.5)
 
 
+def test_scores_against_alignment():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        item = rng.integers(1, 6, rng.integers(1, 14)).astype(np.int32)
+        docs = [rng.integers(0, 8, n).astype(np.int32) for n in rng.integers(0, 30, 7)]
+        assert leakage.smith_waterman_scores(docs, item) == [x[0] for x in leakage.smith_waterman_many(docs, item)]
+
+
+def test_edited_copies_with_common_seeds(spark):
+    """Copies that keep only n-grams which many documents hold are aligned like any other."""
+    item = sentence(random.Random(5), 30).split()
+    edited = [*item[:10], *["changed"] * 2, *item[12:18], "changed", *item[19:28]]
+    docs = [(k, f"unit {k} " + " ".join(item[a:b])) for k, (a, b) in enumerate([(0, 10), (12, 18), (19, 28)] * 40)] + [(999, " ".join(edited))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    rare = [(k, f"unit {k} " + " ".join(item[8:15])) for k in range(2000, 2003)]  # the item's rarest n-grams, cut by the edit
+    e = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    leaks = leakage.find_leaks(d.union(spark.createDataFrame(rare, d.schema)), e)
+    got = {r.doc_id: r for r in leaks.where(F.col("score_share") >= leakage.EDITED_SHARE).collect()}
+    assert set(got) == {999} and got[999].score_share > 0.7 and not got[999].exact
+
+
 @pytest.mark.skipif(not os.path.exists(mixing.TOKENIZER), reason="public tokenizer files not here")
 def test_mixture_reaches_targets(spark):
     rng = random.Random(3)

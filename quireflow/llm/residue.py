@@ -4,7 +4,7 @@ Records that carry markup or the wording of such residue are aligned by template
 placeholders, the sentence with its numbers and codes masked for messages. A slot is flagged if it retains a
 variable name, a default or a blank; markup that may also be ordinary brackets is flagged only if the
 alignment shows that its value is a variable name of other records. Messages are flagged by their wording, or,
-where that is weak, if the whole line repeats across documents. Sentences that mention, quote or explain such
+where that is weak, if the whole line or paragraph repeats across documents. Sentences that mention, quote or explain such
 things are left alone.
 """
 
@@ -129,6 +129,7 @@ def _slots(flat: str, out: list[tuple[str, bool, str, str]]) -> None:
 def evidence(text: str) -> list[tuple[str, bool, str, str]]:
     """(kind, strong, template, value) of every trace of residue in one folded text."""
     out: list[tuple[str, bool, str, str]] = []
+    size = len(text.split())
     for para in re.split(r"\n[^\S\n]*\n", text):
         flat = " ".join(para.split())
         if _MARKUP.search(flat):
@@ -141,7 +142,7 @@ def evidence(text: str) -> list[tuple[str, bool, str, str]]:
             if _DEFAULT.search(low):
                 out.append(("default", True, "", ""))
             lines = [" ".join(x.split()).lower() for x in para.split("\n")]
-            for unit in dict.fromkeys([*_SENTENCE.split(low), *(s for x in lines for s in (x, *_SENTENCE.split(x)))]):
+            for unit in dict.fromkeys([low, *_SENTENCE.split(low), *(s for x in lines for s in (x, *_SENTENCE.split(x)))]):
                 if not any(map(unit.__contains__, _WORDING)):
                     continue
                 words = unit.split()
@@ -151,8 +152,8 @@ def evidence(text: str) -> list[tuple[str, bool, str, str]]:
                 if _MESSAGE.search(unit) or _NOTICE.search(unit):
                     if not _REPORTS.search(unit):
                         out.append(("message", True, _CODE.sub("0", unit), ""))
-                elif len(words) <= 25 and unit in lines and _WEAK.search(unit) and not _REPORTS.search(unit):
-                    out.append(("message", False, _CODE.sub("0", unit), ""))
+                elif len(words) <= 25 and (unit == low or unit in lines) and _WEAK.search(unit) and not _REPORTS.search(unit):
+                    out.append(("message", False, _CODE.sub("0", unit), "page" if 2 * len(words) >= size else ""))
         if len(set(low.split())) <= 0.5 * low.count(" "):
             for line in para.lower().split("\n"):
                 words = line.split()
@@ -172,8 +173,8 @@ def _suspect(folded: Column) -> Column:
 def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text", min_support: int = MIN_SUPPORT) -> DataFrame:
     """(key, kind): documents with residue and what it is (slot, blank, default, filler, message), one row each.
 
-    Documents delivered twice count once; documents of equal text count once as support of a template. Null
-    keys and null or empty texts give no row. Letter case, look-alikes and wrapped lines make no difference.
+    Documents delivered twice count once; documents of equal text count once as support of a template, but each
+    if the message is at least half of the text, as in an error page served under many keys. Null keys and null or empty texts give no row. Letter case, look-alikes and wrapped lines make no difference.
     """
     fields = {f.name: f for f in documents.schema.fields}
     rows = documents.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("_k"), F.explode(F.array(fold(F.col(text)))).alias("_t"))
@@ -196,7 +197,9 @@ def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text",
     names = (
         found.where("kind = 'slot' and strong and value <> ''").groupBy("value").agg(F.countDistinct("text_hash").alias("n")).where(F.col("n") >= min_support).select("value")
     )
-    lines = found.where("kind = 'message'").groupBy("template").agg(F.countDistinct("text_hash").alias("n")).where(F.col("n") >= min_support).select("template")
+    # copies of one page are as many records if the message is the page, and one text if it only stands in it
+    told = found.where("kind = 'message'").select("template", F.when(F.col("value") == "page", F.col(key).cast("string")).otherwise(F.concat(F.lit("#"), "text_hash")).alias("by")).distinct()
+    lines = told.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_support).select("template")
     sure = found.where("strong").select(key, "kind")
     by_name = weak.where("kind = 'slot'").join(names, "value", "left_semi").select(key, "kind")
     by_line = weak.where("kind = 'message'").join(lines, "template", "left_semi").select(key, "kind")

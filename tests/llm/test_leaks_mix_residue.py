@@ -149,3 +149,13 @@ def test_weak_slots_need_a_known_name(spark):
     strong = [(i, f"Dear {{{{batch}}}}, pump {i} is ready.") for i in range(3)]
     d = spark.createDataFrame([*strong, (10, "Dear {batch}, it is ready."), (11, "The set {alpha} is empty."), (None, "Dear {{batch}}"), (12, sentence(random.Random(2), 150_000))], "doc_id long, text string")
     assert {r.doc_id for r in residue.find_residue(d).collect()} == {0, 1, 2, 10}
+
+
+def test_weak_messages_by_records_and_paragraphs(spark):
+    pages = ["Une erreur est survenue.", "Ein Fehler ist\naufgetreten.\n\nZur Startseite"]
+    data = [(10 * p + k, x) for p, x in enumerate(pages) for k in range(3)]  # one page under three keys
+    data += [(40 + k, f"Text of unit {k} and {sentence(random.Random(k), 30)}\n\nan error kept this\nsheet from view") for k in range(3)]  # wrapped
+    clean = [(50, "Es gab einen Fehler."), (51, "Es gab einen Fehler."), (50, "Es gab einen Fehler.")]  # two keys only
+    clean += [(60 + k, sentence(random.Random(9), 60) + "\n\nthe reading error is small") for k in range(4)]  # copies of a real text
+    d = spark.createDataFrame(data + clean, "doc_id long, text string")
+    assert {r.doc_id for r in residue.find_residue(d).collect()} == {k for k, _ in data}

@@ -2,8 +2,9 @@
 
 Records that carry markup or the wording of such residue are aligned by template: the text around a slot for
 placeholders, the sentence with its numbers and codes masked for messages. A slot is flagged if it retains a
-variable name, a default or a blank; markup that may also be ordinary brackets is flagged only if the
-alignment shows that its value is a variable name of other records. Messages are flagged by their wording, or,
+variable name, a default or a blank: markup that only templates use counts alone; ordinary brackets, bare names,
+defaults and blanks count if the words around them (template) stand in other records with varying values, or if
+the name is a variable of other records. Messages are flagged by their wording, or,
 where that is weak, if the whole line or paragraph repeats across documents. Sentences that mention, quote or explain such
 things are left alone.
 """
@@ -37,6 +38,11 @@ _SLOT = re.compile(
 )
 #: Brackets that hold one word: a slot only if the word is a variable name elsewhere.
 _MAYBE = re.compile(r"[{<«]\s*([A-Za-z]{3,}(?: [A-Za-z]{2,})?)\s*[}>»]|\[\s*([A-Za-z]{3,}(?: [A-Za-z]{2,})?)\s*\]")
+#: Values that count only at a slot that other records fill: a bare variable name, a default, a blank.
+_UNFILLED = re.compile(
+    r"(?<![\w/.$%@])[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+(?![\w(/.@])|(?<![\w-])(?i:tbd|tba|undefined|null|nan|untitled|unnamed)(?![\w-])"
+    r"|(?<!\w)_{2,}(?!\w)|\[\s*\]|\{\s*\}|<\s*>|(?<!\S)\?{2,}(?!\S)"
+)
 _BLANK = re.compile(r"\b\w+\s*:\s*(?:_{4,}|\[\s*\]|<\s*>)(?=\s|$)|\(\s*_{3,}\s*\)")
 #: Words before or after a slot that speak about it.
 _SPEAKS_BEFORE = re.compile(
@@ -98,6 +104,8 @@ _REPORTS = re.compile(
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _CODE = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{5,}\b|\d+")
 _WORDS = re.compile(r"\w+")
+_DIGITS = re.compile(r"\d+")
+_PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
 
 
 #: A text without any of these has no trace of residue; the test runs in the JVM over all documents.
@@ -110,6 +118,55 @@ _WORDING = (
     "under construction", "verweigert", "refusé", "denegado", "abgelaufen", "expiré", "wartung", "quisque", "dolor",
 )
 _MARKUP = re.compile(r"[{<\[«%_]|@@|&lt;", re.I)
+#: As _WORDING, for the values of _UNFILLED without markup.
+_BARE = ("_", "??", "tbd", "tba", "undefined", "null", "nan", "untitled", "unnamed")
+#: Longest value of a slot in words, and characters on either side in which its neighbours are looked for.
+VALUE_WORDS, AROUND_CHARS = 4, 200
+
+
+def _around(before: str, after: str) -> str:
+    """The template of a slot: two words on either side, digits masked; ^ and $ are the ends of the line or paragraph."""
+    b = ["^", "^", *_WORDS.findall(before[-AROUND_CHARS:].lower())][-2:]
+    a = [*_WORDS.findall(after[:AROUND_CHARS].lower()), "$", "$"][:2]
+    return _DIGITS.sub("0", " ".join([*b, "⟦⟧", *a]))
+
+
+def _units(text: str) -> Iterator[str]:
+    """Paragraphs without line breaks, and the lines of those that have several."""
+    for para in _PARAGRAPH.split(text):
+        yield " ".join(para.split())
+        if "\n" in para.strip():
+            yield from (" ".join(x.split()) for x in para.split("\n"))
+
+
+def unfilled(text: str) -> list[tuple[str, bool, str, str]]:
+    """Weak traces, as of ``evidence``: what may be ordinary text unless other records fill the same slot."""
+    out = []
+    for unit in _units(text):
+        for pattern in (_UNFILLED, _MAYBE):
+            for m in pattern.finditer(unit):
+                before, after = unit[: m.start()], unit[m.end() :]
+                if _SPEAKS_BEFORE.search(before[-40:]) or _SPEAKS_AFTER.match(after[:40]):
+                    continue
+                around = _around(before, after)
+                if _WORDS.search(around.replace("⟦⟧", "")):
+                    out.append(("aligned", False, around, ""))
+    return out
+
+
+def fillings(text: str, templates: dict[tuple[str, str], dict[tuple[str, str], str]]) -> set[tuple[str, str]]:
+    """(template, value) wherever a text has the words around a slot with one to VALUE_WORDS words between them."""
+    out = set()
+    for unit in _units(text):
+        words = ["^", "^", *_DIGITS.sub("0", " ".join(_WORDS.findall(unit.lower()))).split(), "$", "$"]
+        pairs = list(zip(words, words[1:]))
+        if templates.keys().isdisjoint(pairs):
+            continue
+        for k, pair in enumerate(pairs):
+            for size in range(1, VALUE_WORDS + 1) if pair in templates else ():
+                if k + 2 + size < len(pairs) and (around := templates[pair].get(pairs[k + 2 + size])) is not None and "$" not in words[k + 2 : k + 2 + size]:
+                    out.add((around, " ".join(words[k + 2 : k + 2 + size])))
+    return out
 
 
 def _slots(flat: str, out: list[tuple[str, bool, str, str]]) -> None:
@@ -122,8 +179,7 @@ def _slots(flat: str, out: list[tuple[str, bool, str, str]]) -> None:
             if _SPEAKS_BEFORE.search(before[-40:]) or _SPEAKS_AFTER.match(after[:40]):
                 continue
             name = next((g for g in m.groups() if g), "")
-            around = " ".join(_WORDS.findall(before[-60:])[-2:]) + " ⟦⟧ " + " ".join(_WORDS.findall(after[:60])[:2])
-            out.append(("slot", strong, around.lower(), re.sub(r"[_ .-]+", "_", name.lower())))
+            out.append(("slot", strong, "", re.sub(r"[_ .-]+", "_", name.lower())))
 
 
 def evidence(text: str) -> list[tuple[str, bool, str, str]]:
@@ -165,7 +221,7 @@ def evidence(text: str) -> list[tuple[str, bool, str, str]]:
 def _suspect(folded: Column) -> Column:
     any_of = lambda c, words: reduce(lambda x, y: x | y, [F.contains(c, F.lit(w)) for w in words])
     # inside a lambda, so that the text is lowered once and not for every word
-    worded = F.exists(F.array(F.lower(folded)), lambda low: any_of(low, _WORDING))
+    worded = F.exists(F.array(F.lower(folded)), lambda low: any_of(low, (*_WORDING, *_BARE)))
     run = F.concat(folded, F.lit(" ")).rlike("(?:^|\\s)((?:\\S{1,12}\\s+){1,3}?)\\1\\1")
     return any_of(folded, _MARKS) | folded.rlike("%[A-Za-z_ ]{2,40}%") | worded | run
 
@@ -179,7 +235,7 @@ def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text",
     fields = {f.name: f for f in documents.schema.fields}
     rows = documents.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("_k"), F.explode(F.array(fold(F.col(text)))).alias("_t"))
     # exploding one value keeps the planner from repeating the fold in every term of the filter
-    rows = rows.where(_suspect(F.col("_t")))
+    every, rows = rows, rows.where(_suspect(F.col("_t")))
     schema = T.StructType(
         [T.StructField(key, fields[key].dataType), T.StructField("text_hash", T.LongType()), T.StructField("kind", T.StringType())]
         + [T.StructField("strong", T.BooleanType()), T.StructField("template", T.StringType()), T.StructField("value", T.StringType())]
@@ -187,7 +243,7 @@ def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(k, h, *e) for k, h, t in zip(pdf["_k"], pdf["_h"], pdf["_t"]) for e in dict.fromkeys(evidence(t))]
+            out = [(k, h, *e) for k, h, t in zip(pdf["_k"], pdf["_h"], pdf["_t"]) for e in dict.fromkeys([*evidence(t), *unfilled(t)])]
             yield pd.DataFrame(out, columns=schema.names)
 
     # a few rows per document with residue; written once, for the four uses below
@@ -203,7 +259,26 @@ def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text",
     sure = found.where("strong").select(key, "kind")
     by_name = weak.where("kind = 'slot'").join(names, "value", "left_semi").select(key, "kind")
     by_line = weak.where("kind = 'message'").join(lines, "template", "left_semi").select(key, "kind")
-    return sure.unionByName(by_name).unionByName(by_line).distinct()
+    out = sure.unionByName(by_name).unionByName(by_line)
+    # slots that other records fill: at most a few templates per document with a weak trace
+    open_slots = found.where("kind = 'aligned'")
+    templates: dict[tuple[str, str], dict[tuple[str, str], str]] = {}
+    for (around,) in open_slots.select("template").distinct().collect():
+        a, b, _, c, d = around.split(" ")
+        templates.setdefault((a, b), {})[(c, d)] = around
+    if templates:
+        filled = every.select(F.xxhash64("_t").alias("_h"), "_t").mapInPandas(lambda batches: _filled(batches, templates), "template string, text_hash long, value string")
+        filled = filled.join(open_slots.select("template", "text_hash").distinct(), ["template", "text_hash"], "left_anti")
+        varying = filled.groupBy("template").agg(F.countDistinct("text_hash").alias("n"), F.countDistinct("value").alias("values"))
+        varying = varying.where((F.col("n") >= min_support) & (F.col("values") > 1)).select("template")
+        out = out.unionByName(open_slots.join(varying, "template", "left_semi").select(key, F.lit("slot").alias("kind")))
+    return out.distinct()
+
+
+def _filled(batches: Iterator[pd.DataFrame], templates: dict[tuple[str, str], dict[tuple[str, str], str]]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = [(a, h, v) for h, t in zip(pdf["_h"], pdf["_t"]) for a, v in fillings(t, templates)]
+        yield pd.DataFrame(out, columns=["template", "text_hash", "value"])
 
 
 def without_residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

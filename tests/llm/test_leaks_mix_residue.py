@@ -159,3 +159,17 @@ def test_weak_messages_by_records_and_paragraphs(spark):
     clean += [(60 + k, sentence(random.Random(9), 60) + "\n\nthe reading error is small") for k in range(4)]  # copies of a real text
     d = spark.createDataFrame(data + clean, "doc_id long, text string")
     assert {r.doc_id for r in residue.find_residue(d).collect()} == {k for k, _ in data}
+
+
+def test_slots_that_other_records_fill(spark):
+    """Names, defaults and blanks in markup no list knows, at a position where same-template records vary."""
+    def letter(who):
+        return f"Dear {who},\n\nthank you for the order. Our driver {who} will bring it on Monday."
+
+    filled = [(k, letter(n)) for k, n in enumerate(["Anna", "Otto Berg", "Ines", "Paul"])]
+    left = [(10 + k, letter(x)) for k, x in enumerate(["{client}", "client_name", "[name]", "TBD", "__", "???"])]
+    form = [(30 + k, f"Model: {v}\nDate: {k} May") for k, v in enumerate(["Lark", "Wren", "Tern"])] + [(40, "Model: undefined\nDate: 7 May")]
+    clean = [(50, "The set {alpha} is empty."), (51, "Set the field order_id before you start."), (52, "The pointer is null in both cases."), (53, None)]
+    clean += [(60 + k, "Turn the [handle] to the left.") for k in range(4)]  # always the same word: no slot
+    d = spark.createDataFrame(filled + left + form + clean, "doc_id long, text string")
+    assert {r.doc_id for r in residue.find_residue(d).collect()} == {*range(10, 16), 40}

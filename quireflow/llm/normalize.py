@@ -1,11 +1,12 @@
 """One consistent form for text that looks the same but is stored in other characters.
 
-``fold`` maps look-alike letters, full-width forms, ligatures, kinds of blanks and hyphens and
-invisible characters onto one spelling and composes combining accents. It is a JVM expression;
-ASCII rows skip it altogether.
+``fold`` maps look-alike letters, full-width and other compatibility forms, ligatures, kinds of blanks and hyphens
+and invisible characters onto one spelling and composes combining accents. Its table follows from the Unicode
+confusables data of the ICU library that Spark carries, and from Unicode's own decompositions. It is a JVM
+expression; ASCII rows skip it altogether.
 
-``canonical_forms`` groups the folded values under Spark's accent- and case-sensitive UNICODE
-collation, chooses one member per class and joins it back.
+``canonical_forms`` and ``look_alike_pairs`` group the mapped values under Spark's accent- and case-sensitive UNICODE
+collation, choose one member per class and join it back; the collation decides which texts are equal.
 """
 
 from __future__ import annotations
@@ -13,53 +14,65 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
-# Letters of other scripts and the Latin letter (or sign) they look like.
-LOOK_ALIKE = {
-    # Cyrillic capitals
-    "Ѕ": "S", "І": "I", "Ј": "J", "А": "A", "В": "B", "Е": "E",
-    "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
-    "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ӏ": "I",
-    "ԁ": "d", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W",
-    # Cyrillic small letters
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y",
-    "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ү": "y", "һ": "h",
-    "ӏ": "l", "ԛ": "q", "ԝ": "w",
-    # Greek capitals
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I",
-    "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
-    "Υ": "Y", "Χ": "X", "Ϳ": "J",
-    # Greek small letters
-    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
-    # Armenian
-    "Օ": "O", "հ": "h", "ո": "n", "ս": "u", "օ": "o", "Ս": "U",
-    # signs with a second code point
-    "µ": "μ", "Ω": "Ω", "K": "K", "Å": "Å",
-}
-
-# Ligatures and the letters they stand for.
+#: Ligatures, digraphs and Roman numerals with their letters, by Unicode's compatibility decompositions.
 LIGATURES = {
-    "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st",
-    "Ĳ": "IJ", "ĳ": "ij",
-}
+    chr(c): unicodedata.normalize("NFKC", chr(c))
+    for c in (0x132, 0x133, *range(0x1C7, 0x1CD), *range(0x1F1, 0x1F4), *range(0x2160, 0x2180), *range(0xFB00, 0xFB07), *range(0xFB13, 0xFB18))
+    if 1 < len(unicodedata.normalize("NFKC", chr(c))) and "<compat>" in unicodedata.decomposition(chr(c))
+}
 
 BLANKS = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
-HYPHENS = [0x2010, 0x2011, 0x2012, 0xFE63]
+HYPHENS = [0x2010, 0x2011, 0x2012, 0x2013, 0x2043, 0x2212, 0x2796, 0xFE63]
 INVISIBLE = [
     0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), *range(0x200B, 0x2010),
     *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0x3164, *range(0xFE00, 0xFE10), 0xFEFF, 0xFFA0,
 ]
 
 
+@lru_cache(maxsize=1)
+def _skeletons() -> dict[str, str]:
+    """The look-alike letter of ASCII of each cased letter of another script than Latin, by ICU's confusables.
+
+    ICU maps I, l, 1 and | to one shape; the letter of the same case is taken. Accented letters follow their base.
+    """
+    jvm = SparkContext._active_spark_context._jvm
+    checker = getattr(jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+    letters = [chr(c) for c in range(0x80, 0x1E000) if unicodedata.category(chr(c)) in ("Lu", "Ll") and not unicodedata.name(chr(c), "LATIN").startswith(("LATIN", "FULLWIDTH"))]
+    ascii_ = [chr(c) for c in range(0x21, 0x7F)]
+    bare = [x for x in letters if unicodedata.decomposition(x)[:1] in ("", "<")]
+    shapes = checker.getSkeleton("\ue000".join([*ascii_, *bare])).split("\ue000")
+    same: dict[tuple[str, str], str] = {}
+    for x, shape in zip(ascii_, shapes):
+        if x.isalpha():
+            same.setdefault((unicodedata.category(x), shape), x)
+    m = {x: same[key] for x, shape in zip(bare, shapes[len(ascii_) :]) if (key := (unicodedata.category(x), shape)) in same}
+    for x in letters:
+        d = unicodedata.normalize("NFD", x)
+        if len(d) > 1 and d[0] in m and len(whole := unicodedata.normalize("NFC", m[d[0]] + d[1:])) == 1:
+            m[x] = whole
+    return m
+
+
 @lru_cache(maxsize=1)
 def _one_to_one() -> tuple[str, str]:
     """Arguments of ``translate``; the characters without a partner (at the end) are deleted."""
-    m = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
-    m |= {chr(c): " " for c in BLANKS} | {chr(c): "-" for c in HYPHENS} | LOOK_ALIKE
+    m = {}
+    for c in range(0x80, 0x1F000):
+        x, d = chr(c), unicodedata.decomposition(chr(c))
+        if d and unicodedata.category(x)[0] in "LNPS" and c not in (0xA8, 0xAF, 0xB4, 0xB8):
+            tag = d.split(">")[0][1:] if d[0] == "<" else ""
+            to = unicodedata.normalize("NFKC" if tag else "NFC", x)
+            # full and half width, letter styles, compatibility letters, and signs with a second code point; raised and lowered figures stay
+            if len(to) == 1 and to != x and (tag in ("wide", "narrow", "font", "") or tag == "compat" and to.isalpha()):
+                m[x] = to
+    m |= _skeletons()
+    m = {x: m.get(y, y) for x, y in m.items()} | {chr(c): " " for c in BLANKS} | {chr(c): "-" for c in HYPHENS}
     gone = [chr(c) for c in INVISIBLE if chr(c) not in m]
     return "".join(m) + "".join(gone), "".join(m.values())
 
@@ -92,17 +105,21 @@ def _compose(c: Column) -> Column:
     return c
 
 
-@lru_cache(maxsize=1)
-def _foldable() -> str:
-    """A pattern that finds any character ``fold`` changes; ASCII fails its first test."""
-    points = sorted({*map(ord, _one_to_one()[0]), *map(ord, LIGATURES), *range(0x300, 0x370)})
+def _class(points: list[int]) -> str:
+    """Character ranges of a regular expression."""
     ranges: list[list[int]] = []
-    for c in points:
+    for c in sorted(points):
         if ranges and ranges[-1][1] == c - 1:
             ranges[-1][1] = c
         else:
             ranges.append([c, c])
-    return "[\\x{80}-\\x{10FFFF}&&[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]]"
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+
+
+@lru_cache(maxsize=1)
+def _foldable() -> str:
+    """A pattern that finds any character ``fold`` changes; ASCII fails its first test."""
+    return "[\\x{80}-\\x{10FFFF}&&[" + _class([*{*map(ord, _one_to_one()[0]), *map(ord, LIGATURES), *range(0x300, 0x370)}]) + "]]"
 
 
 def fold(text: Column) -> Column:
@@ -115,45 +132,41 @@ def fold(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), text).when(~text.rlike(_foldable()), text).otherwise(wide)
 
 
-#: Up to so many 64-bit hashes are sent to all tasks; more are joined by shuffle.
-BROADCAST_ROWS = 200_000
+@lru_cache(maxsize=1)
+def _unstable() -> str:
+    """A pattern of all that the collation may take as equal to something else: letters with marks, composed or not, and all that is no letter."""
+    composed = [c for c in (*range(0xC0, 0xAC00), *range(0xF900, 0xFB50), *range(0x11000, 0x12000), *range(0x2F800, 0x2FA20)) if unicodedata.normalize("NFD", chr(c)) != chr(c)]
+    return "[\\p{L}\\p{N}]\\p{C}*\\p{M}[\\p{M}\\p{C}]*|[\\x{80}-\\x{10FFFF}&&[" + _class(composed) + "\\p{IsHangul}]]|[^\\p{L}\\p{N}]+"
 
 
-def _small(df: DataFrame) -> tuple[DataFrame, int]:
-    """``df`` written to the checkpoint folder and marked for broadcast if its counted size is small."""
-    df = materialize(df)
-    n = df.count()
-    return (F.broadcast(df) if n <= BROADCAST_ROWS else df), n
+def _outline(folded: Column) -> Column:
+    """A hash of the letters and digits that neither have nor could have an accent: the same for all texts that are equal under the collation.
 
+    Such texts differ only in how accents are composed and in characters the collation ignores. Korean is left out,
+    where syllables stand for several letters.
+    """
+    plain = F.length(folded) == F.octet_length(folded)
+    return F.xxhash64(F.when(plain, F.regexp_replace(folded, "[^A-Za-z0-9]+", "")).otherwise(F.regexp_replace(folded, _unstable(), "")))
 
-def _hashed(records: DataFrame, text: str, *keep: Column) -> DataFrame:
-    """keep, t: the stored text; c1, c2: its look-alike form (128 bits); k: its ASCII letters and digits.
 
-    Two forms that are equal under the collation have one k: they can differ only in characters the collation
-    ignores and in how accents are composed.
-    """
-    d = records.where(F.col(text).isNotNull()).select(*keep, F.xxhash64(text).alias("t"), fold(F.col(text)).alias("_f"))
-    k = F.xxhash64(F.regexp_replace("_f", "[^A-Za-z0-9]+", "")).alias("k")
-    names = [c for c in d.columns if c != "_f"]
-    return materialize(d.select(*names, F.xxhash64("_f").alias("c1"), F.xxhash64(F.lit(1), "_f").alias("c2"), k).distinct())
+def _texts(records: DataFrame, text: str, *keep: Column) -> DataFrame:
+    """keep, t: the stored text; k: its outline; written once."""
+    d = records.where(F.col(text).isNotNull()).select(*keep, F.xxhash64(text).alias("t"), F.explode(F.array(fold(F.col(text)))).alias("_f"))
+    return materialize(d.select(*[c for c in d.columns if c != "_f"], _outline(F.col("_f")).alias("k")).distinct())
 
 
-def _variants(records: DataFrame, hashed: DataFrame, text: str) -> DataFrame | None:
-    """(member, chosen): folded values that look like another one, with the smallest member of their class.
+def _classes(records: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """(t, member, chosen): the texts of which another has the outline, their mapped value and the one that stands for its class.
 
-    Values are grouped under the accent- and case-sensitive UNICODE collation; those that stand alone in their k
-    cannot have a partner and are not sent there. None if no value has a partner.
+    Classes are those of the accent- and case-sensitive UNICODE collation; the smallest member (by code points) is chosen.
+    Texts alone with their outline have no partner under the collation and stay where they are.
     """
-    alone = hashed.groupBy("k").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("k")
-    several, n = _small(alone)
-    if not n:
-        return None
-    folded = records.where(F.col(text).isNotNull()).select(fold(F.col(text)).alias("member"))
-    folded = folded.withColumn("k", F.xxhash64(F.regexp_replace("member", "[^A-Za-z0-9]+", ""))).join(several, "k", "left_semi")
-    members = materialize(folded.select("member").distinct().select("member", F.expr("member COLLATE UNICODE").alias("look")))
-    classes = members.groupBy("look").agg(F.min("member").alias("chosen"), F.count("*").alias("n")).where("n > 1")
-    mapping, n = _small(members.join(classes, "look").select("member", "chosen"))
-    return mapping if n else None
+    mixed = texts.groupBy("k").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("k")
+    several = texts.join(mixed, "k", "left_semi").select("t").distinct()
+    stored = records.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("t"), F.col(text).alias("stored")).join(several, "t", "left_semi")
+    members = materialize(stored.distinct().select("t", fold(F.col("stored")).alias("member")))
+    classes = members.select(F.expr("member COLLATE UNICODE").alias("look"), "member").groupBy("look").agg(F.min("member").alias("chosen"))
+    return materialize(members.join(classes, F.expr("member COLLATE UNICODE") == F.col("look")).select("t", "member", "chosen"))
 
 
 def canonical_forms(records: DataFrame, text: str = "text") -> DataFrame:
@@ -163,32 +176,25 @@ def canonical_forms(records: DataFrame, text: str = "text") -> DataFrame:
     member (by code points) of a class stands for it and is joined back. Null gives null, '' gives ''. Rows,
     repeated ones too, and all other columns are kept; a column ``canonical`` is replaced.
     """
-    value = F.col(text)
-    hashed = _hashed(records, text)
-    mapping = _variants(records, hashed, text)
+    mapping = _classes(records, _texts(records, text), text).where("member <> chosen")
     names = [c for c in records.columns if c != "canonical"]
-    base = records.select(*names, fold(value).alias("__looks_fold"))
-    if mapping is None:
-        return base.withColumnRenamed("__looks_fold", "canonical")
-    to = mapping.select(F.col("member").alias("__looks_member"), F.col("chosen").alias("__looks_chosen"))
-    out = base.join(to, F.col("__looks_fold") == F.col("__looks_member"), "left")
-    return out.select(*names, F.coalesce("__looks_chosen", "__looks_fold").alias("canonical"))
+    base = records.select(*names, F.xxhash64(text).alias("__looks_t"))
+    out = base.join(mapping.select(F.col("t").alias("__looks_t"), F.col("chosen").alias("__looks_chosen")), "__looks_t", "left")
+    return out.select(*names, F.coalesce("__looks_chosen", fold(F.col(text))).alias("canonical"))
 
 
 def look_alike_pairs(records: DataFrame, field: str = "field", key: str = "key", text: str = "text") -> DataFrame:
     """(field, key_a, key_b), key_a < key_b: records of one field whose texts differ as strings but look the same.
 
-    Equality is that of ``canonical_forms``. Only classes with two different texts travel, as hashes; the hash of
-    a class is 128 bits wide. Null or empty texts and null keys give no pair; repeated rows count once.
+    Equality is that of ``canonical_forms``: the class under the collation. Only texts of which another has the
+    outline travel, once each. Null or empty texts and null keys give no pair; repeated rows count once.
     """
     rows = records.where(F.col(key).isNotNull() & (F.col(text) != ""))
-    hashed = _hashed(rows, text, F.col(field).alias("field"), F.col(key).alias("key"))
-    mapping = _variants(rows, hashed, text)
-    if mapping is not None:
-        to = mapping.select(F.xxhash64("member").alias("c1"), F.xxhash64("chosen").alias("d1"), F.xxhash64(F.lit(1), "chosen").alias("d2"))
-        hashed = hashed.join(to, "c1", "left").select("field", "key", "t", F.coalesce("d1", "c1").alias("c1"), F.coalesce("d2", "c2").alias("c2"))
-    mixed = hashed.groupBy("field", "c1", "c2").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    hashed = _texts(rows, text, F.col(field).alias("field"), F.col(key).alias("key"))
+    classes = _classes(rows, hashed, text).select("t", F.xxhash64("chosen").alias("c1"), F.xxhash64(F.lit(1), "chosen").alias("c2"))
+    hashed = hashed.select("field", "key", "t").join(classes, "t")
     look = ["field", "c1", "c2"]
+    mixed = hashed.groupBy(*look).agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").drop("lo", "hi")
     kept = hashed.join(mixed, look, "left_semi").select(*look, "key", "t")
     # texts are paired first and records after, so that copies of one text never meet each other
     texts = kept.select(*look, "t").distinct()

@@ -2,7 +2,22 @@
 
 from __future__ import annotations
 
-from .normalize import LIGATURES, _one_to_one
+import unicodedata
+
+# Fixed values, written down apart from the operator's table: letters of other scripts and the Latin letters they look like.
+_FROM = "ЅІЈАВЕКМНОРСТУХҮӀԁԌԚԜаеорсухѕіјүһӏԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧͿοϲϳՕսօ"
+_TO = "SIJABEKMHOPCTYXYIdGQWaeopcyxsijyhlqwABEZHIKMNOPTYXJocjOuo"
+_SIGNS = {"µ": "μ", "Ω": "Ω", "K": "K", "Å": "Å"}
+_SPACES = "\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+_DASHES = "\u2010\u2011\u2012\u2013\u2043\u2212\ufe63"
+_NOTHING = "\u00ad\u034f\u061c" + "".join(map(chr, (*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10)))) + "\ufeff"
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "Ĳ": "IJ", "ĳ": "ij"}
+
+
+def _one_to_one() -> tuple[str, str]:
+    wide = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF01, 0xFF5F)}
+    m = wide | dict(zip(_FROM, _TO)) | _SIGNS | dict.fromkeys(_SPACES, " ") | dict.fromkeys(_DASHES, "-")
+    return "".join(m) + _NOTHING, "".join(m.values())
 
 
 def _q(s: str) -> str:

@@ -78,6 +78,28 @@ def test_same_looks(spark, a, b):
     assert len({r.c for r in normalize.canonical_forms(spark.createDataFrame([(a,), (b,)], "text string")).selectExpr("canonical c").collect()}) == 1
 
 
+#: Marks with a second code point, signs, letter styles, numerals, half-width kana, letters of other scripts.
+FURTHER = [
+    ("wa\u0340s", "w\u00e0s"), ("u\u0344x", "\u01d8x"), ("a \u2212 b", "a - b"), ("3\u20135", "3-5"), ("a\u2043b", "a-b"), ("\U0001d408n \U0001d5ba", "In a"), ("\u2163.", "IV."),
+    ("\uff8a\uff9f", "\u30d1"), ("\u0451l", "\u00ebl"), ("\u03f2at", "cat"), ("\u212b", "\u00c5"), ("\u2126", "\u03a9"), ("\uac00", "\u1100\u1161"),
+]
+
+
+def test_further_looks_come_from_the_collation(spark):
+    d = spark.createDataFrame([("f", f"{i}{s}", x) for i, p in enumerate(FURTHER) for s, x in zip("ab", p)], "field string, key string, text string")
+    got = {(r.key_a, r.key_b) for r in normalize.look_alike_pairs(d).collect()}
+    assert got == {(f"{i}a", f"{i}b") for i in range(len(FURTHER))}
+
+
+def test_outline_is_the_same_for_texts_equal_under_the_collation(spark):
+    """The outline may not part what the collation joins: every composed letter against its decomposed and its ignorable-laden form."""
+    letters = [chr(c) for c in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x900, 0x980), *range(0x1E00, 0x2000), *range(0xAC00, 0xAC80), *range(0xF900, 0xF920)) if unicodedata.decomposition(chr(c)) or chr(c).isalpha()]
+    rows = [(x, y) for x in letters for y in (unicodedata.normalize("NFD", x), x + "\u0001", unicodedata.normalize("NFC", x)) if y != x]
+    d = spark.createDataFrame(rows, "a string, b string").select(normalize.fold(F.col("a")).alias("a"), normalize.fold(F.col("b")).alias("b"))
+    bad = d.where(F.expr("(a COLLATE UNICODE) = (b COLLATE UNICODE)") & (normalize._outline(F.col("a")) != normalize._outline(F.col("b"))))
+    assert bad.count() == 0
+
+
 def test_different_looks(spark):
     d = spark.createDataFrame([(i, x) for i, p in enumerate(DIFFERENT) for x in p], "i int, text string")
     out = normalize.canonical_forms(d)

@@ -67,7 +67,7 @@ class Items:
         self.n, self.passage = n, passage
         self.vocabulary: dict[str, int] = {}
         self.words: dict[int, np.ndarray] = {}
-        self.exact: dict[int, list[str]] = {}
+        self.tokens: dict[int, list[str]] = {}
         self.anchors: dict[int, list[str]] = {}
         for item, form, tokens in rows:
             words = form.split()
@@ -76,7 +76,7 @@ class Items:
             self.words[item] = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.uint64)
             t = [x for x in (re.sub(r"\s", "", y) for y in tokens.split("\x1f")) if x]
             k = min(passage, len(t))
-            self.exact[item] = list(dict.fromkeys("".join(t[i : i + k]) for i in range(len(t) - k + 1)))
+            self.tokens[item] = t
             b = (k + 1) // 2  # k words in a row hold one of these blocks whole
             self.anchors[item] = list(dict.fromkeys("".join(t[i : i + b]) for i in range(0, len(t) - b + 1, max(1, b))))
         self.by_item = {i: _grams(w, min(n, len(w))) for i, w in self.words.items()}
@@ -88,6 +88,17 @@ class Items:
         order = np.argsort(grams, kind="stable")
         self.seeds, self.owners = grams[order], np.repeat(np.arange(len(self.ids)), [len(g) for g in self.by_item.values()])[order]
 
+    @property
+    def exact(self) -> dict[int, list[str]]:
+        """The passages of every item; built when asked for, as together they are many times the items' text."""
+        return {i: list(self.passages(i)) for i in self.tokens}
+
+    def passages(self, item: int) -> Iterator[str]:
+        """The runs of ``passage`` words of an item, or all of it, without blanks."""
+        t = self.tokens[item]
+        k = min(self.passage, len(t))
+        return ("".join(t[i : i + k]) for i in range(len(t) - k + 1))
+
     def hits(self, form: str) -> np.ndarray:
         """The distinct item n-grams in a text."""
         get = self.vocabulary.get
@@ -132,7 +143,7 @@ class Items:
         if not any(x in squeezed for x in self.anchors[item]):
             return False
         edges: set[int] | None = None
-        for x in self.exact[item]:
+        for x in self.passages(item):
             at = squeezed.find(x)
             while at >= 0:
                 if edges is None:

@@ -83,8 +83,8 @@ def balance(sized: DataFrame, targets: dict[str, tuple[float, int]], total: floa
             worst = max(worst, abs(g - want) / max(want, 1.0))
             lam[k] += max(-4.0, min(4.0, (want - g) / h)) if h > 0 else 0.0
         if worst < TOLERANCE:
-            break
-    return lam, goal
+            return lam, goal
+    raise ArithmeticError(f"no balance after {NEWTON_STEPS} steps: a source is {worst:.2%} off its target")
 
 
 def _rate(lam: Column, tokens: Column, mean: Column, cap: Column) -> Column:
@@ -148,12 +148,10 @@ def _round(rated: DataFrame) -> DataFrame:
     """Whole copies with the expected tokens: systematic rounding by tokens inside blocks of each source."""
     from pyspark.sql import Window
 
-    counts = {r.key: r.n for r in rated.groupBy("key").agg(F.count("*").alias("n")).collect()}
-    blocks = F.lit(1)
-    for k, n in sorted(counts.items()):
-        blocks = F.when(F.col("key") == k, F.lit(max(1, math.ceil(n / BLOCK)))).otherwise(blocks)
-    h = F.xxhash64(F.col("_doc").cast("string"))
-    d = rated.withColumn("_h", h).withColumn("_b", F.pmod(F.col("_h"), blocks)).withColumn("_floor", F.floor("rate"))
+    # one row per source
+    blocks = rated.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).alias("_blocks"))
+    d = rated.join(blocks, "key").withColumn("_h", F.xxhash64(F.col("_doc").cast("string")))
+    d = d.withColumn("_b", F.pmod(F.col("_h"), F.col("_blocks"))).withColumn("_floor", F.floor("rate"))
     # running sum of the fractional tokens; a document gets its extra copy where the sum passes a multiple of the step
     w = Window.partitionBy("key", "_b").orderBy("tokens", "_h", "_doc").rowsBetween(Window.unboundedPreceding, 0)
     run = F.sum(F.col("rate") - F.col("_floor")).over(w)

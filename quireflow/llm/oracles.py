@@ -76,6 +76,9 @@ r AS (SELECT DISTINCT chunk_id, CASE WHEN g.gone IS NULL THEN text ELSE
         array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(g.gone, CAST(i AS INTEGER))), chr(10)) END AS text
       FROM (SELECT DISTINCT chunk_id, doc_id, chunk_index, text FROM chunks) LEFT JOIN g USING (doc_id, chunk_index))
 SELECT chunk_id, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS text_md5 FROM r""",
+    "p1_headers": _P1
+    + """SELECT DISTINCT e.doc_id, e.entry_index, CASE WHEN hit.doc_id IS NULL OR e.running_header IS NULL THEN e.running_header ELSE '' END AS running_header
+FROM structural_index e LEFT JOIN hit ON hit.field = 'running_header' AND hit.doc_id = e.doc_id AND hit.chunk_index = e.chunk_index""",
     "p2_found": f"WITH {_TEXTS}, k AS (SELECT field, key, text, {sql_fold('text')} AS f FROM t WHERE text <> '')"
     " SELECT DISTINCT a.field, a.key AS key_a, b.key AS key_b FROM k a JOIN k b ON a.field = b.field AND a.f = b.f AND a.key < b.key AND a.text <> b.text",
     "p2_canonical": f"WITH {_TEXTS} SELECT DISTINCT field, key, md5({sql_fold('text')}) AS canonical_md5 FROM t WHERE key IS NOT NULL",

@@ -210,7 +210,7 @@ _STATS = T.StructType(
 
 def text_quality(
     records: DataFrame, common_words: DataFrame, keep: tuple[str, ...], text: str = "text", key: str = "chunk_id",
-    model: LineModel | None = None, prose_share: float = PROSE_SHARE,
+    model: LineModel | None = None, prose_share: float = PROSE_SHARE, labels: bool = True,
 ) -> DataFrame:
     """``keep`` columns of ``records`` with statistics, label shares and ``is_prose`` for every row.
 
@@ -219,13 +219,15 @@ def text_quality(
     that end in ``. ! ? : ; …`` (closing quotes and brackets aside). common_word_share: words that are in
     ``common_words`` of any language, case and edge punctuation aside. The shares of prose, list, table and junk
     count characters of non-blank lines. Look-alike characters count as what they look like. A null text gives
-    nulls, an empty or blank one 0 words and null for all else. Very long texts are processed whole.
+    nulls, an empty or blank one 0 words and null for all else. Very long texts are processed whole. Without
+    ``labels`` no line is labelled; the shares and ``is_prose`` are left out.
     """
     common = common_set(common_words)
-    if model is None:
+    if model is None and labels:
         model = fit_line_model(records, common, F.col(key), text)
+    stats = T.StructType([f for f in _STATS.fields if labels or f.name not in (*[f"{c}_share" for c in LABELS], "is_prose")])
     fields = {f.name: f for f in records.schema.fields}
-    schema = T.StructType([T.StructField(c, fields[c].dataType) for c in keep] + _STATS.fields)
+    schema = T.StructType([T.StructField(c, fields[c].dataType) for c in keep] + stats.fields)
     rows = records.select(*keep, fold(F.col(text)).alias("_folded"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,7 +236,7 @@ def text_quality(
             feats, chars, sizes = _featurize(texts, common)
             owner = np.repeat(np.arange(len(texts)), sizes)
             shares = np.zeros((len(texts), 4))
-            if len(feats):
+            if labels and len(feats):
                 np.add.at(shares, (owner, _decode(model, feats, sizes)), chars)
             total = shares.sum(1)
             ends = np.bincount(owner, weights=feats[:, 5], minlength=len(texts)) if len(feats) else np.zeros(len(texts))
@@ -251,7 +253,7 @@ def text_quality(
                     cols[f"{c}_share"].append(shares[i, k] / total[i] if n else None)
                 cols["is_prose"].append(bool(shares[i, 0] >= prose_share * total[i]) if n else None)
             out = pdf[list(keep)].copy()
-            for c in _STATS.names:
+            for c in stats.names:
                 out[c] = pd.Series(cols[c], index=out.index, dtype=object)
             yield out
 

@@ -25,6 +25,12 @@ def p1_rebuilt(spark: SparkSession, root: str) -> DataFrame:
     return out.select("chunk_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5")).distinct()
 
 
+def p1_headers(spark: SparkSession, root: str) -> DataFrame:
+    """Each entry's running header without those repeated in its document."""
+    entries = table(spark, root, "structural_index").select("doc_id", "entry_index", "chunk_index", "running_header").distinct()
+    return repeated_lines.remove_repeated_lines(entries, text="running_header", split=False).select("doc_id", "entry_index", "running_header").distinct()
+
+
 def _texts(spark: SparkSession, root: str) -> DataFrame:
     """(field, key, text) of the three text columns; repeated deliveries of a record once."""
     c = table(spark, root, "chunks").select(F.lit("chunks.text").alias("field"), F.col("chunk_id").alias("key"), "text")
@@ -71,10 +77,19 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return scored.where(F.col("as_table") == F.col("is_prose")).select(*at).distinct()
 
 
+def p6_labels(spark: SparkSession, root: str) -> DataFrame:
+    """Statistics, label shares and the verdict on prose of every chunk's text without page furniture, by the fitted model."""
+    at = ["doc_id", "chunk_index"]
+    chunks = table(spark, root, "chunks").select("chunk_id", *at, "text").distinct()
+    common = table(spark, root, "common_words")
+    model = quality.fit_line_model(chunks, quality.common_set(common), F.concat_ws(":", *at), "text")
+    return quality.text_quality(repeated_lines.remove_repeated_lines(chunks), common, ("chunk_id",), model=model).distinct()
+
+
 def p6_statistics(spark: SparkSession, root: str) -> DataFrame:
     """Statistics of each chunk's text as stored (furniture included), rounded for comparison."""
     chunks = table(spark, root, "chunks").select("chunk_id", "text").distinct()
-    q = quality.text_quality(chunks, table(spark, root, "common_words"), ("chunk_id",), model=quality.prior_model())
+    q = quality.text_quality(chunks, table(spark, root, "common_words"), ("chunk_id",), labels=False)
     r = lambda c: F.round(c, 6).alias(c)
     return q.select("chunk_id", "word_count", *map(r, ("mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share")))
 
@@ -106,14 +121,19 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return residue.find_residue(table(spark, root, "documents")).select("doc_id").distinct()
 
 
+def p9_evidence(spark: SparkSession, root: str) -> DataFrame:
+    """Kinds of residue of each document, and whether alignment, a template, filler vocabulary or nothing but itself shows it."""
+    return residue.residue_evidence(table(spark, root, "documents"))
+
+
 def p9_kept(spark: SparkSession, root: str) -> DataFrame:
     """The corpus without them."""
     return residue.without_residue(table(spark, root, "documents").select("doc_id", "source", "text")).select("doc_id", "source", F.length("text").alias("text_chars"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_rebuilt": p1_rebuilt, "p2_found": p2_found, "p2_canonical": p2_canonical,
-    "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_statistics": p6_statistics,
+    "p1_found": p1_found, "p1_rebuilt": p1_rebuilt, "p1_headers": p1_headers, "p2_found": p2_found, "p2_canonical": p2_canonical,
+    "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_statistics": p6_statistics, "p6_labels": p6_labels,
     "p7_found": p7_found, "p7_edited": p7_edited, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
-    "p9_found": p9_found, "p9_kept": p9_kept,
+    "p9_found": p9_found, "p9_evidence": p9_evidence, "p9_kept": p9_kept,
 }

@@ -93,6 +93,21 @@ def test_edited_copies_with_common_seeds(spark):
     assert set(got) == {999} and got[999].score_share > 0.7 and not got[999].exact
 
 
+def test_recall_of_planted_edited_copies(spark):
+    """Copies of an item of 40 words with every n-th word replaced: all are found from n = 6 on, where five words in a row stay."""
+    rng = random.Random(11)
+    items = [(i, sentence(rng, 40)) for i in range(20)]
+    docs, want = [], {}
+    for every in (6, 7, 8, 10):
+        for i, t in items:
+            words = [f"zz{k}" if k % every == every - 1 else w for k, w in enumerate(t.split())]
+            docs.append((len(docs), sentence(rng, 60) + ". " + " ".join(words) + ". " + sentence(rng, 60)))
+            want[docs[-1][0]] = i
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    found = leakage.find_leaks(d, spark.createDataFrame(items, "item_id long, text string"), least=leakage.EDITED_SHARE).where(F.col("score_share") >= leakage.EDITED_SHARE)
+    assert {(k, i) for k, i in want.items()} <= {(r.doc_id, r.item_id) for r in found.collect()}
+
+
 @pytest.mark.skipif(not os.path.exists(mixing.TOKENIZER), reason="public tokenizer files not here")
 def test_mixture_reaches_targets(spark):
     rng = random.Random(3)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.predicates import FRONT_MATTER
 from .functions.text import highlight, search_window
 from .operators import artifacts, context, curation, search
 from .sources.notes import parse_notes
@@ -67,6 +68,35 @@ def search_structural(spark: SparkSession, root: str) -> DataFrame:
     return search.search_structural(_entries(spark, root), _registry(spark, root).withColumn("chunk_storage_mode", mode), QUERY).drop("category_parts")
 
 
+def search_stored(spark: SparkSession, root: str) -> DataFrame:
+    """The structural search over the documents whose registry row says that they are stored structurally."""
+    return search.search_structural(_entries(spark, root), _registry(spark, root), QUERY).drop("category_parts")
+
+
+def search_expanded(spark: SparkSession, root: str) -> DataFrame:
+    """The whole search of a misspelt query: terms expanded by the vocabulary of all notes, titles of generated notes, stored modes."""
+    notes = curation.titled_notes(_notes(spark, root), table(spark, root, "doc_registry"))
+    words = search.expand_terms(search.parse_terms(FUZZY_QUERY), vocabulary(spark, root))
+    return search.federate(search.search_notes(notes, " ".join(words)), search.search_structural(_entries(spark, root), _registry(spark, root), " ".join(words)))
+
+
+def verification_pages_at(spark: SparkSession, root: str) -> DataFrame:
+    """Pages of linked layouts, else of tables with page 40 kept, else of the entry that begins there or of the first one."""
+    linked = artifacts.link_tables(_entries(spark, root), _layouts(spark, root)).join(_layouts(spark, root).select("doc_id", "layout_id", "page_number"), ["doc_id", "layout_id"])
+    d = context.verification_pages(_entries(spark, root), linked.select("doc_id", "page_number"), warning=False, current=40, general=True)
+    return d.select("doc_id", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
+
+
+def leading_captions(spark: SparkSession, root: str) -> DataFrame:
+    """Named range captions at the start of the previews, and of the same previews behind a caption of primes."""
+    from .functions.predicates import leading_caption
+
+    d = _entries(spark, root).select("doc_id", "entry_index", F.coalesce("preview", F.lit("")).alias("p"), (F.col("entry_index") % 3).alias("k"))
+    n = F.col("entry_index").cast("string")
+    text = F.when(F.col("k") == 0, F.concat(F.lit("Prime Numbers from 2 to "), n, F.lit(" "), "p")).when(F.col("k") == 1, F.concat(F.lit("Gear Table for 1 to "), n, "p")).otherwise(F.col("p"))
+    return d.select("doc_id", "entry_index", leading_caption(text).alias("caption")).where("caption is not null")
+
+
 def entry_scores(spark: SparkSession, root: str) -> DataFrame:
     page, text = search.parse_page_query(PAGE_QUERY)
     return search.score_entries(_entries(spark, root), search.parse_terms(text), page).select("doc_id", "entry_index", F.col("score").cast("int").alias("score"))
@@ -225,7 +255,7 @@ def page_filter(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        vocabulary, fuzzy_expand, note_scores, search_notes, search_notes_scope, search_notes_page, search_structural, entry_scores, search_federated, result_titles, previews,
+        vocabulary, fuzzy_expand, note_scores, search_notes, search_notes_scope, search_notes_page, search_structural, search_stored, search_expanded, verification_pages_at, leading_captions, entry_scores, search_federated, result_titles, previews,
         index_entries, storage_modes, chunk_context, source_context, parsed_notes, preferred_notes, unit_runs, unit_statistics, display_items, verification_pages, table_links, figure_links,
         table_series, table_cells, outer_layouts, display_layouts, baseline_lines, prime_numbers, page_spec, curator_documents, collection_counts, curator_notes, origin_counts,
         folder_tree, titled_notes, note_ids, generated_notes, page_filter,
@@ -315,6 +345,36 @@ ORACLES = {
     "search_notes_scope": _top_notes(_TERMS, "manual"),
     "search_notes_page": _top_notes(search.parse_terms(_REST), page=_PAGE),
     "search_structural": f"WITH {_STRUCTURAL} SELECT * EXCLUDE (category_parts) FROM hits",
+    "search_stored": f"WITH {_STRUCTURAL.replace('r.chunk_count > 30', "r.chunk_storage_mode = 'structural_only'")} SELECT * EXCLUDE (category_parts) FROM hits",
+    "leading_captions": f"""WITH {_E}, t AS (SELECT doc_id, entry_index, CASE entry_index % 3 WHEN 0 THEN 'Prime Numbers from 2 to ' || entry_index || ' ' || coalesce(preview, '')
+  WHEN 1 THEN 'Gear Table for 1 to ' || entry_index || coalesce(preview, '') ELSE coalesce(preview, '') END || ' ' AS p FROM e),
+g AS (SELECT doc_id, entry_index, trim(regexp_extract(p, '(?i)^\\s*((?:(?:[a-z][a-z''-]*\\s+){{1,10}}table\\s+(?:for|of)|prime numbers\\s+from)\\s+[0-9][0-9,]*\\s+(?:to|through|[–—-])\\s+[0-9][0-9,]*)\\s', 1)) AS caption FROM t)
+SELECT * FROM g WHERE caption <> ''""",
+    "verification_pages_at": f"""WITH {_E}, {_L}, ek AS (SELECT doc_id, entry_index, page_start AS page_number, trim(regexp_replace(lower(coalesce(table_caption, '')), '[^a-z0-9]+', ' ', 'g')) AS k FROM e WHERE content_type = 'table' OR coalesce(table_caption, '') <> ''),
+lk AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page_number) AS n FROM (SELECT DISTINCT doc_id, page_number, layout_id, coalesce(table_index, 0) AS i, trim(regexp_replace(lower(coalesce(caption, '')), '[^a-z0-9]+', ' ', 'g')) AS c FROM l)),
+j AS (SELECT ek.doc_id, entry_index, page_number, layout_id, i, n, k <> '' AND c <> '' AND (contains(k, c) OR contains(c, k)) AS m FROM ek JOIN lk USING (doc_id, page_number)),
+a AS (SELECT DISTINCT doc_id, page_number AS p FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, entry_index ORDER BY m DESC, i, layout_id) AS rn FROM j WHERE m OR n = 1) WHERE rn = 1 AND page_number > 0),
+x AS (SELECT doc_id, entry_index, page_start AS s, greatest(coalesce(page_end, page_start), page_start) AS t, content_type = 'table' OR
+  regexp_matches(coalesce(preview, '') || ' ', '(?i)^\\s*(?:(?:[a-z][a-z''-]*\\s+){{1,10}}table\\s+(?:for|of)|prime numbers\\s+from)\\s+[0-9][0-9,]*\\s+(?:to|through|[–—-])\\s+[0-9][0-9,]*\\s') AS tab FROM e WHERE page_start > 0),
+b AS (SELECT DISTINCT doc_id, unnest(range(s, least(t, s + 7) + 1)) AS p FROM x WHERE tab),
+g AS (SELECT doc_id, unnest(range(s, least(t, s + 7) + 1)) AS p FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s = 40 DESC, entry_index) AS rn FROM x) WHERE rn = 1),
+u AS (SELECT doc_id, p, 0 AS kind, false AS top FROM a UNION ALL SELECT doc_id, p, 1, p = 40 FROM b UNION ALL SELECT doc_id, p, 2, false FROM g),
+f AS (SELECT u.* FROM u JOIN (SELECT doc_id, min(kind) AS kind FROM u GROUP BY 1) USING (doc_id, kind)),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY top DESC, p) AS rn FROM f)
+SELECT doc_id, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS pages FROM c WHERE rn <= 8 GROUP BY doc_id""",
+    "display_items": f"""WITH {_E}, h AS (SELECT *, coalesce(content_type = 'contents', false) AS c, {_strip("coalesce(section_heading, '')")} AS heading,
+  trim(regexp_replace(replace(lower(coalesce(section_heading, '')), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g')) AS k FROM e),
+a AS (SELECT *, CASE WHEN coalesce(content_type, 'prose') = 'table' THEN coalesce('table-layout:' || nullif(table_layout_id, ''), 'table-unit:' || nullif(semantic_unit_id, '')) END AS key,
+  CASE WHEN c THEN 'Table of Contents' WHEN k = 'front matter' THEN 'Front Matter' WHEN k IN ({', '.join(f"'{x}'" for x in FRONT_MATTER)}) THEN heading END AS own FROM h),
+f AS (SELECT *, min(entry_index) FILTER (WHERE c) OVER (PARTITION BY doc_id) AS first FROM a),
+o AS (SELECT *, min(entry_index) FILTER (WHERE NOT c AND entry_index > first) OVER (PARTITION BY doc_id) AS gone FROM f),
+l AS (SELECT *, CASE WHEN first IS NOT NULL AND entry_index < coalesce(gone, 2147483647) THEN coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY entry_index ROWS UNBOUNDED PRECEDING), 'Publication Details') ELSE own END AS label FROM o),
+b AS (SELECT *, lag(label) OVER w AS ll, lag(key) OVER w AS lk FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY entry_index)),
+s AS (SELECT *, coalesce(label = ll, false) AS sl, coalesce(key = lk, false) AS sk, label IS NULL AND ll IS NULL AS bare FROM b),
+n AS (SELECT *, CAST(sum(CASE WHEN sl OR (bare AND sk) THEN 0 ELSE 1 END) OVER w AS INTEGER) AS item, CAST(sum(CASE WHEN (sl OR bare) AND sk THEN 0 ELSE 1 END) OVER w AS INTEGER) AS card
+  FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY entry_index ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT doc_id, item, card, any_value(label) AS label, min(entry_index) AS first_entry, count(*) AS chunks, min(page_start) AS page_start, max(page_end) AS page_end, CAST(sum(coalesce(char_count, 0)) AS BIGINT) AS char_count FROM n GROUP BY 1, 2, 3)
+SELECT *, CAST(sum(chunks) OVER (PARTITION BY doc_id, item) AS BIGINT) AS entries_in_item FROM g""",
     "entry_scores": f"WITH {_entry_score(search.parse_terms(_REST), _PAGE)} SELECT doc_id, entry_index, CAST(score AS INTEGER) AS score FROM es WHERE score > 0",
     "search_federated": _note_score(_TERMS)
     + f""", nh AS (SELECT 0 AS engine, row_number() OVER (ORDER BY adjusted DESC, score DESC, id) AS position, adjusted AS score, CAST(id AS VARCHAR) AS id, title FROM (SELECT * FROM d ORDER BY adjusted DESC, score DESC, id LIMIT 5)),

@@ -22,6 +22,7 @@ ROMAN = "^[ivxlcdm]{1,8}$"
 NUMBERED_CAPTION = "(?i)^\\s*Table\\s+(?:\\d+(?:[.-]\\d+)*[A-Za-z]?|[IVXLCDM]+)(?:[.:])?(?:\\s+.*)?$"
 NAMED_CAPTION = "(?i)^\\s*(?:[A-Za-z][A-Za-z'-]*\\s+){1,10}Table\\s+(?:for|of)\\s+\\d[\\d,]*\\s+(?:to|through|[–—-])\\s+\\d[\\d,]*\\s*$"
 PRIME_CAPTION = "(?i)^\\s*Prime Numbers\\s+from\\s+\\d[\\d,]*\\s+to\\s+\\d[\\d,]*\\s*$"
+LEADING_CAPTION = "(?i)^\\s*((?:(?:[A-Za-z][A-Za-z'-]*\\s+){1,10}Table\\s+(?:for|of)|Prime Numbers\\s+from)\\s+\\d[\\d,]*\\s+(?:to|through|[–—-])\\s+\\d[\\d,]*)(?=\\s|$)"
 FIGURE_CAPTION = "(?i)^Fig(?:ure)?\\.?\\s*\\d+[A-Za-z]?(?:[.:\\-–—]|\\s)"
 SECTION_LINE = "^([A-Z][A-Z0-9\\s,&/\\-]+?)\\s+(\\d{1,4}|[IVXLCDMivxlcdm]+)$"
 CONTENTS_NOTE = "each section includes a detailed table of contents or index"
@@ -74,7 +75,7 @@ def is_table_caption(line: Column) -> Column:
 
 def leading_caption(text: Column) -> Column:
     """A named range caption at the start of flattened text, or null."""
-    got = F.regexp_extract(text, "(?i)^\\s*((?:[A-Za-z][A-Za-z'-]*\\s+){1,10}Table\\s+(?:for|of)\\s+\\d[\\d,]*\\s+(?:to|through|[–—-])\\s+\\d[\\d,]*)", 1)
+    got = F.regexp_extract(text, LEADING_CAPTION, 1)
     return F.when(got != "", strip(got))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.text import caption_key, preview, strip
+from ..plans.ordering import along
 from .search import artifact_key, with_figures
 
 #: Pages shown to verify a segment.
@@ -26,14 +27,15 @@ def note_chunk_index(notes: DataFrame) -> Column:
 def source_context(notes: DataFrame) -> DataFrame:
     """(note_id, doc_id, place, previous_id, next_id): neighbours among the generated notes of one source that have a chunk number, by it."""
     d = notes.where((F.coalesce("source_doc_id", F.lit("")) != "") & F.col("is_generated")).withColumn("_c", note_chunk_index(notes)).where("_c is not null")
-    w = Window.partitionBy("source_doc_id").orderBy("_c", "relative_path", "id")
-    return d.select("note_id", F.col("source_doc_id").alias("doc_id"), F.row_number().over(w).alias("place"), F.lag("note_id").over(w).alias("previous_id"), F.lead("note_id").over(w).alias("next_id"))
+    d = d.select("note_id", F.col("source_doc_id").alias("doc_id"), "_c", "relative_path", "id")
+    d = along(d, ["doc_id"], ["_c", "relative_path", "id"], sums={"place": F.lit(1)}, lags={"previous_id": F.col("note_id")}, leads={"next_id": F.col("note_id")})
+    return d.select("note_id", "doc_id", F.col("place").cast("int").alias("place"), "previous_id", "next_id")
 
 
 def chunk_context(chunks: DataFrame) -> DataFrame:
     """(chunk_id, doc_id, chunk_index, previous_id, next_id): neighbours of each chunk in its document."""
-    w = Window.partitionBy("doc_id").orderBy("chunk_index", "chunk_id")
-    return chunks.select("chunk_id", "doc_id", "chunk_index", F.lag("chunk_id").over(w).alias("previous_id"), F.lead("chunk_id").over(w).alias("next_id"))
+    d = chunks.select("chunk_id", "doc_id", "chunk_index")
+    return along(d, ["doc_id"], ["chunk_index", "chunk_id"], lags={"previous_id": F.col("chunk_id")}, leads={"next_id": F.col("chunk_id")})
 
 
 def preferred_source_note(notes: DataFrame) -> DataFrame:
@@ -46,12 +48,12 @@ def preferred_source_note(notes: DataFrame) -> DataFrame:
 
 def unit_runs(entries: DataFrame) -> DataFrame:
     """(doc_id, entry_index, run, first_entry, last_entry): contiguous runs of one semantic unit, not all rows of its id."""
-    w = Window.partitionBy("doc_id").orderBy("entry_index")
-    same = F.col("semantic_unit_id").eqNullSafe(F.lag("semantic_unit_id").over(w)) & F.col("semantic_unit_id").isNotNull() & (F.col("semantic_unit_id") != "")
-    d = entries.select("doc_id", "entry_index", (~F.coalesce(same, F.lit(False))).cast("int").alias("_new"))
-    d = d.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    r = Window.partitionBy("doc_id", "run")
-    return d.select("doc_id", "entry_index", "run", F.min("entry_index").over(r).alias("first_entry"), F.max("entry_index").over(r).alias("last_entry"))
+    d = along(entries.select("doc_id", "entry_index", "semantic_unit_id"), ["doc_id"], ["entry_index"], lags={"_before": F.col("semantic_unit_id")})
+    same = F.col("semantic_unit_id").eqNullSafe(F.col("_before")) & F.col("semantic_unit_id").isNotNull() & (F.col("semantic_unit_id") != "")
+    d = along(d.select("doc_id", "entry_index", (~F.coalesce(same, F.lit(False))).cast("int").alias("_new")), ["doc_id"], ["entry_index"], sums={"run": F.col("_new")})
+    d = d.select("doc_id", "entry_index", F.col("run").cast("int").alias("run"))
+    ends = d.groupBy("doc_id", "run").agg(F.min("entry_index").alias("first_entry"), F.max("entry_index").alias("last_entry"))
+    return d.join(ends, ["doc_id", "run"]).select("doc_id", "entry_index", "run", "first_entry", "last_entry")
 
 
 def unit_statistics(chunks: DataFrame) -> DataFrame:
@@ -75,48 +77,61 @@ def display_items(entries: DataFrame) -> DataFrame:
     the first one is ``Publication Details``. Afterwards only explicit labels group. Neighbouring groups of one
     label are one item; neighbouring parts of one table or figure are one card.
     """
-    w = Window.partitionBy("doc_id").orderBy("entry_index")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("doc_id")
-    d = with_figures(entries).withColumn("_key", artifact_key()).withColumn("_own", front_matter_label()).withColumn("_n", F.row_number().over(w))
-    d = d.withColumn("_is", F.coalesce(F.col("content_type") == "contents", F.lit(False)))
-    d = d.withColumn("_first", F.min(F.when(F.col("_is"), F.col("_n"))).over(whole))
-    d = d.withColumn("_out", F.min(F.when(~F.col("_is") & (F.col("_n") > F.col("_first")), F.col("_n"))).over(whole))
-    front = F.col("_first").isNotNull() & (F.col("_n") < F.coalesce("_out", F.lit(2**31 - 1)))
-    carried = F.coalesce(F.last("_own", True).over(run), F.lit("Publication Details"))
-    d = d.withColumn("label", F.when(front, carried).otherwise(F.col("_own")))
-    same_label = F.coalesce(F.col("label") == F.lag("label").over(w), F.lit(False))
-    same_key = F.coalesce(F.col("_key") == F.lag("_key").over(w), F.lit(False))
-    both_bare = F.col("label").isNull() & F.lag("label").over(w).isNull()
+    d = with_figures(entries).withColumn("_key", artifact_key()).withColumn("_own", front_matter_label())
+    d = d.select("doc_id", "entry_index", "page_start", "page_end", "char_count", "_key", "_own", F.coalesce(F.col("content_type") == "contents", F.lit(False)).alias("_is"))
+    starts = d.where("_is").groupBy("doc_id").agg(F.min("entry_index").alias("_first"))
+    after = d.join(starts, "doc_id").where(~F.col("_is") & (F.col("entry_index") > F.col("_first")))
+    bounds = starts.join(after.groupBy("doc_id").agg(F.min("entry_index").alias("_out")), "doc_id", "left")
+    d = along(d, ["doc_id"], ["entry_index"], lasts={"_carried": F.col("_own")}).join(bounds, "doc_id", "left")
+    front = F.col("_first").isNotNull() & (F.col("entry_index") < F.coalesce("_out", F.lit(2**31 - 1)))
+    d = d.withColumn("label", F.when(front, F.coalesce("_carried", F.lit("Publication Details"))).otherwise(F.col("_own"))).drop("_first", "_out", "_carried")
+    d = along(d, ["doc_id"], ["entry_index"], lags={"_last_label": F.col("label"), "_last_key": F.col("_key")})
+    same_label = F.coalesce(F.col("label") == F.col("_last_label"), F.lit(False))
+    same_key = F.coalesce(F.col("_key") == F.col("_last_key"), F.lit(False))
+    both_bare = F.col("label").isNull() & F.col("_last_label").isNull()
     d = d.withColumn("_ni", (~(same_label | (both_bare & same_key))).cast("int")).withColumn("_nc", (~((same_label | both_bare) & same_key)).cast("int"))
-    d = d.withColumn("item", F.sum("_ni").over(run).cast("int")).withColumn("card", F.sum("_nc").over(run).cast("int"))
+    d = along(d, ["doc_id"], ["entry_index"], sums={"item": F.col("_ni"), "card": F.col("_nc")})
+    d = d.withColumn("item", F.col("item").cast("int")).withColumn("card", F.col("card").cast("int"))
     g = d.groupBy("doc_id", "item", "card").agg(
         F.first("label").alias("label"), F.min("entry_index").alias("first_entry"), F.count("*").alias("chunks"),
         F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.sum(F.coalesce("char_count", F.lit(0))).alias("char_count"),
     )
-    return g.withColumn("entries_in_item", F.sum("chunks").over(Window.partitionBy("doc_id", "item")))
+    return g.join(g.groupBy("doc_id", "item").agg(F.sum("chunks").alias("entries_in_item")), ["doc_id", "item"])
 
 
-def verification_pages(entries: DataFrame, layouts: DataFrame | None = None, warning: bool = True, group: tuple[str, ...] = ("doc_id",), most: int = MAX_PAGES) -> DataFrame:
+def verification_pages(
+    entries: DataFrame, layouts: DataFrame | None = None, warning: bool = True, group: tuple[str, ...] = ("doc_id",), most: int = MAX_PAGES,
+    current: int | None = None, general: bool = False,
+) -> DataFrame:
     """(group, pages): the first ``most`` pages of the source that are worth a look.
 
     Pages of linked table layouts; else pages of table entries and of entries that begin with a range caption, each
-    clipped to ``most`` pages; else, with a warning, the pages of equations. layouts: (group, page_number).
+    clipped to ``most`` pages, of which ``current`` is kept whatever its place; else, with a warning, the pages of
+    equations; else, if ``general``, those of the entry that begins on ``current``, or of the first one.
+    layouts: (group, page_number).
     """
     start, end = F.col("page_start"), F.greatest(F.coalesce("page_end", "page_start"), F.col("page_start"))
     d = entries.where("page_start > 0")
     table = (F.col("content_type") == "table") | P.leading_caption(F.coalesce("preview", F.lit(""))).isNotNull()
-    pages = lambda cond, to: F.flatten(F.collect_list(F.when(cond, F.sequence(start, to))))
-    by = d.groupBy(*group).agg(pages(table, F.least(end, start + most - 1)).alias("b"), pages(F.col("layout_hint") == "equation", end).alias("c"))
+    few = F.sequence(start, F.least(end, start + most - 1))
+    pages = lambda cond, seq: F.flatten(F.collect_set(F.when(cond, seq)))
+    here = F.struct(F.coalesce(start == F.lit(current).cast("int"), F.lit(False)).alias("a"), (-F.col("entry_index")).alias("b"))
+    by = d.groupBy(*group).agg(
+        pages(table, few).alias("b"), pages(F.col("layout_hint") == "equation", F.sequence(start, end)).alias("c"), F.max_by(few, here).alias("e"),
+    )
     none = F.array().cast("array<int>")
     if layouts is not None:
         linked = layouts.where("page_number > 0").groupBy(*group).agg(F.collect_set("page_number").alias("a"))
         by = by.join(linked, list(group), "full")
     else:
         by = by.withColumn("a", none)
-    a, b, c = (F.coalesce(x, none) for x in ("a", "b", "c"))
-    best = F.when(F.size(a) > 0, a).when(F.size(b) > 0, b).otherwise(c if warning else none)
-    return by.select(*group, F.slice(F.array_sort(F.array_distinct(best)), 1, most).alias("pages")).where(F.size("pages") > 0)
+    a, b, c, e = (F.array_sort(F.array_distinct(F.coalesce(x, none))) for x in ("a", "b", "c", "e"))
+    cut = lambda x: F.slice(x, 1, most)
+    kept = cut(b)
+    if current is not None:
+        kept = F.when(F.array_contains(b, current), F.array_sort(cut(F.array_distinct(F.concat(F.array(F.lit(current)), b))))).otherwise(kept)
+    rest = cut(c) if warning else e if general else none
+    return by.select(*group, F.when(F.size(a) > 0, cut(a)).when(F.size(b) > 0, kept).otherwise(rest).alias("pages")).where(F.size("pages") > 0)
 
 
 def segment_bodies(entries: DataFrame, documents: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def archive_orphans(index: DataFrame, layouts: DataFrame, notes: DataFrame, regi
     c = F.col
     s = ("structural_index", F.concat("doc_id", F.lit(":"), c("entry_index").cast("string")), [c("doc_id"), clean_reference(c("table_layout_id"))], c("indexed_at"))
     n = ("note", c("note_id"), [clean_reference(c("source_doc_id"), ("None",))], c("created_at"))
-    a = find_orphans(index, layouts, *s, [c("doc_id"), F.trim("layout_id")], c("extracted_at"), c("deleted_at").isNull())
-    b = find_orphans(notes, registry, *n, [F.trim("doc_id")], c("created_at"), c("deleted_at").isNull())
+    a = find_orphans(index, layouts, *s, [c("doc_id"), clean_reference(c("layout_id"))], c("extracted_at"), c("deleted_at").isNull())
+    b = find_orphans(notes, registry, *n, [clean_reference(c("doc_id"))], c("created_at"), c("deleted_at").isNull())
     counts = count_orphans(a, index, *s).unionByName(count_orphans(b, notes, *n))
     return a.unionByName(b), counts

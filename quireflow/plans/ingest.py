@@ -13,6 +13,7 @@ from ..operators.context import index_entries, storage_mode
 from ..operators.curation import anchor_note_text, generated_note_text
 from ..session import materialize
 from . import chunker
+from .stores import exists, replace_documents
 
 
 @dataclass
@@ -45,15 +46,19 @@ def ingest(registered: DataFrame, max_chars: int = chunker.MAX_CHARS, mode: str
     return Ingested(docs, kept, index_entries(chunks), notes)
 
 
+TABLES = ("registry", "chunks", "structural_index", "notes")
+
+
 def write(result: Ingested, root: str) -> None:
-    """Replace the rows of the ingested documents: every table is partitioned by a bucket of doc_id and written in
-    dynamic overwrite mode, so other documents' partitions stay as they are."""
-    for name in ("registry", "chunks", "structural_index", "notes"):
-        df: DataFrame = getattr(result, name)
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(os.path.join(root, name))
+    """Replace the rows of the ingested documents in every table; the tables lie in hash buckets of doc_id."""
+    for name in TABLES:
+        replace_documents(getattr(result, name), os.path.join(root, name), result.registry)
 
 
-def delete_document(spark: SparkSession, root: str, doc_id: str, table: str = "notes") -> None:
-    """Drop the generated rows of one document: its partition is removed."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(root, table, f"doc_id={doc_id}"))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def delete_document(spark: SparkSession, root: str, doc_id: str, table: str | None = None) -> None:
+    """Drop the rows of one document, in one table or in all that are generated (chunks, index, notes)."""
+    gone = spark.range(1).select(F.lit(doc_id).alias("doc_id"))
+    for name in (table,) if table else TABLES[1:]:
+        path = os.path.join(root, name)
+        if exists(spark, path):
+            replace_documents(spark.read.parquet(path).limit(0), path, gone)

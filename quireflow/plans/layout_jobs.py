@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.predicates import leading_caption
 from ..functions.text import strip
 from ..operators.artifacts import link_tables, replace_pages
+from ..session import materialize
+from .stores import exists, replace_documents
 
 
 def table_pages(entries: DataFrame, pages: list[int] | None = None) -> DataFrame:
@@ -40,7 +42,7 @@ def store_layouts(old: DataFrame | None, new: DataFrame, path: str, pages: list[
     if old is not None and pages:
         same = old.join(new.select("doc_id").distinct(), "doc_id", "left_semi")
         kept = replace_pages(same, new, pages)
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+    replace_documents(materialize(kept), path, new)
 
 
 def manifest(layouts: DataFrame) -> DataFrame:
@@ -55,12 +57,11 @@ def migrate_documents(spark: SparkSession, source: str, schema: str, path: str)
     """
     docs = spark.read.schema(f"doc_id string, storage_mode string, layouts array<struct<{schema}>>").option("multiLine", True).option("mode", "PERMISSIVE").json(source)
     rows = docs.where("doc_id is not null and coalesce(storage_mode, '') <> 'sharded'").select("doc_id", F.explode("layouts").alias("l")).select("doc_id", "l.*")
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+    if exists(spark, path):
         rows = rows.join(spark.read.parquet(path).select("doc_id").distinct(), "doc_id", "left_anti")
     n = rows.count()
     if n:
-        rows.write.mode("append").partitionBy("doc_id").parquet(path)
+        replace_documents(rows, path)
     return n
 
 

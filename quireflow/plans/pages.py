@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -22,10 +22,13 @@ def to_pages(documents: DataFrame, text: str = "text") -> DataFrame:
         "doc_id", F.regexp_extract_all(t, F.lit(MARKER), F.lit(0)).alias("m"), F.regexp_extract_all(t, F.lit(MARKER), F.lit(1)).alias("n"), F.split(t, MARKER).alias("b")
     )
     d = d.where(F.size("m") > 0).withColumn("head", F.length(F.get("b", F.lit(0))))
-    zipped = F.arrays_zip(F.col("m"), F.col("n"), F.slice("b", F.lit(2), F.size("m")).alias("b"))
-    d = d.select("doc_id", "head", F.posexplode(zipped).alias("i", "z")).select("doc_id", "head", "i", F.col("z.m").alias("m"), F.col("z.n").alias("n"), F.col("z.b").alias("b"))
-    before = F.coalesce(F.sum(F.length("m") + F.length("b")).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = F.col("head") + before + F.length("m") + F.length("b") - F.length(F.regexp_replace("b", "(?U)^\\s+", ""))
+    # where each page's marker begins, added up inside the row: no page text is shuffled for it
+    sizes = F.transform("m", lambda x, i: F.length(x) + F.length(F.get("b", i + 1)))
+    begins = F.slice(F.aggregate(sizes, F.array("head"), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))), F.lit(1), F.size("m"))
+    d = d.withColumn("o", begins)
+    zipped = F.arrays_zip(F.col("m"), F.col("n"), F.slice("b", F.lit(2), F.size("m")).alias("b"), F.col("o"))
+    d = d.select("doc_id", F.posexplode(zipped).alias("i", "z")).select("doc_id", "i", F.col("z.m").alias("m"), F.col("z.n").alias("n"), F.col("z.b").alias("b"), F.col("z.o").alias("o"))
+    start = F.col("o") + F.length("m") + F.length("b") - F.length(F.regexp_replace("b", "(?U)^\\s+", ""))
     body = strip(F.col("b"))
     d = d.withColumn("start", start).withColumn("body", body)
     return d.select(

@@ -249,9 +249,9 @@ def text_quality(
                 cols["symbol_ratio"].append(len(_SYMBOL.findall(t)) / len(t) if n else None)
                 cols["punctuated_line_share"].append(ends[i] / sizes[i] if n else None)
                 cols["common_word_share"].append(sum(w.strip(_EDGE) in common for w in words) / n if n else None)
-                for k, c in enumerate(LABELS):
+                for k, c in enumerate(LABELS if labels else ()):
                     cols[f"{c}_share"].append(shares[i, k] / total[i] if n else None)
-                cols["is_prose"].append(bool(shares[i, 0] >= prose_share * total[i]) if n else None)
+                cols["is_prose"].append(labels and bool(shares[i, 0] >= prose_share * total[i]) if n else None)
             out = pdf[list(keep)].copy()
             for c in stats.names:
                 out[c] = pd.Series(cols[c], index=out.index, dtype=object)

@@ -20,14 +20,15 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p1_rebuilt(spark: SparkSession, root: str) -> DataFrame:
     """Each chunk's text without the repeated lines of its document."""
-    chunks = table(spark, root, "chunks").select("chunk_id", "doc_id", "chunk_index", "text").distinct()
+    # repeated deliveries are told apart by their short results, so that no text is shuffled for it
+    chunks = table(spark, root, "chunks").select("chunk_id", "doc_id", "chunk_index", "text")
     out = repeated_lines.remove_repeated_lines(chunks)
     return out.select("chunk_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5")).distinct()
 
 
 def p1_headers(spark: SparkSession, root: str) -> DataFrame:
     """Each entry's running header without those repeated in its document."""
-    entries = table(spark, root, "structural_index").select("doc_id", "entry_index", "chunk_index", "running_header").distinct()
+    entries = table(spark, root, "structural_index").select("doc_id", "entry_index", "chunk_index", "running_header")
     return repeated_lines.remove_repeated_lines(entries, text="running_header", split=False).select("doc_id", "entry_index", "running_header").distinct()
 
 
@@ -80,7 +81,7 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
 def p6_labels(spark: SparkSession, root: str) -> DataFrame:
     """Statistics, label shares and the verdict on prose of every chunk's text without page furniture, by the fitted model."""
     at = ["doc_id", "chunk_index"]
-    chunks = table(spark, root, "chunks").select("chunk_id", *at, "text").distinct()
+    chunks = table(spark, root, "chunks").select("chunk_id", *at, "text")
     common = table(spark, root, "common_words")
     model = quality.fit_line_model(chunks, quality.common_set(common), F.concat_ws(":", *at), "text")
     return quality.text_quality(repeated_lines.remove_repeated_lines(chunks), common, ("chunk_id",), model=model).distinct()

@@ -275,7 +275,7 @@ def _tokens(text: Column) -> Column:
 def _aligned(texts: DataFrame, places: DataFrame, min_support: int) -> DataFrame:
     """(place, how): the places whose surrounding words stand in other texts around another filling, or around none.
 
-    texts: _h, _t; places: place, _h, before, after. Without a filling (none), three words across the place, of
+    texts: _h, _t; places: place, _h, before, after, fill (whether fillings are looked for). Without a filling (none), three words across the place, of
     which the first may be any end of a sentence, must run on in ``min_support`` texts. With one (filled) of at most
     VALUE_WORDS words, the words on either side (two after; three before, or the one since the last end of a sentence)
     must stand around two different fillings. Texts that hold the place itself do not support it. Only hashes of words
@@ -285,17 +285,15 @@ def _aligned(texts: DataFrame, places: DataFrame, min_support: int) -> DataFrame
     stops = lambda w: F.endswith(w, F.lit(".")) | F.endswith(w, F.lit(":")) | F.endswith(w, F.lit("?")) | F.endswith(w, F.lit("!")) | F.endswith(w, F.lit("|"))
     ends = lambda w: F.when(stops(w), F.lit(".")).otherwise(w)
     word = lambda w: F.coalesce(w.rlike("\\p{L}"), F.lit(False)).cast("int")
-    sides = places.select("place", "_h", F.filter(_tokens(F.col("before")), lambda w: w != "").alias("b"), F.concat(F.slice(_tokens(F.col("after")), 2, 9999), F.array(F.lit("."))).alias("a"))
+    sides = places.select("place", "_h", "fill", F.filter(_tokens(F.col("before")), lambda w: w != "").alias("b"), F.concat(F.slice(_tokens(F.col("after")), 2, 9999), F.array(F.lit("."))).alias("a"))
     sides = sides.withColumn("a", F.filter("a", lambda w: w.rlike("[\\p{L}0.]")))
     n = F.size("b")
     l3, l2, l1, r1, r2 = got("b", n - 3), got("b", n - 2), got("b", n - 1), got("a", F.lit(0)), got("a", F.lit(1))
-    spans = F.array(
-        F.when(word(l2) + word(l1) + word(r1) >= 2, F.xxhash64(ends(l2), l1, r1)), F.when(word(l1) + word(r1) + word(r2) >= 2, F.xxhash64(ends(l1), r1, r2)),
-    )
+    span = F.when(word(l1) + word(r1) + word(r2) >= 2, F.xxhash64(ends(l1), r1, r2)).when(word(l2) + word(l1) + word(r1) >= 2, F.xxhash64(ends(l2), l1, r1))
     left = F.when(stops(l1) & ~F.endswith(l1, F.lit(":")), None).when(stops(l2), F.xxhash64(F.lit(2), l1)).otherwise(F.xxhash64(ends(l3), l2, l1))
-    keyed = sides.select("place", "_h", spans.alias("spans"), F.when(word(l1) + word(r1) + word(r2) >= 2, left).alias("left"), F.xxhash64(r1, F.coalesce(r2, F.lit("."))).alias("right"))
+    keyed = sides.select("place", "_h", span.alias("span"), F.when(F.col("fill") & (word(l1) + word(r1) + word(r2) >= 2), left).alias("left"), F.xxhash64(r1, F.coalesce(r2, F.lit("."))).alias("right"))
     keyed = materialize(keyed)
-    wanted = keyed.select(F.explode(F.concat("spans", F.array("left"))).alias("x")).where("x is not null").distinct()
+    wanted = keyed.select(F.explode(F.array("span", "left")).alias("x")).where("x is not null").distinct()
     w = texts.select("_h", F.concat(_tokens(F.col("_t")), F.array(F.lit("."))).alias("w"))
     runs = w.select("_h", "w", F.slice("w", 2, F.size("w")).alias("w2"), F.slice("w", 3, F.size("w")).alias("w3"))
     runs = runs.select("_h", F.posexplode(F.arrays_zip("w", "w2", "w3")).alias("i", "z")).select("_h", "i", "z.w", "z.w2", "z.w3")
@@ -303,7 +301,7 @@ def _aligned(texts: DataFrame, places: DataFrame, min_support: int) -> DataFrame
     begun = F.when(stops(F.col("w")), F.struct(F.xxhash64(F.lit(2), "w2").alias("x"), (F.col("i") + 2).alias("at")))
     runs = runs.select("_h", F.explode(F.array_compact(F.array(F.struct(F.xxhash64(ends(F.col("w")), "w2", "w3").alias("x"), (F.col("i") + 3).alias("at")), begun))).alias("e"))
     runs = materialize(runs.select("_h", "e.*").join(wanted, "x", "left_semi"))
-    each = keyed.select("place", F.explode("spans").alias("x")).where("x is not null").distinct()
+    each = keyed.select("place", F.col("span").alias("x")).where("x is not null").distinct()
     none = runs.select("x", "_h").distinct().join(each.select("x").distinct(), "x", "left_semi").groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") >= min_support)
     without = each.join(none, "x", "left_semi").select("place")
     both = keyed.where("left is not null").select("left", "right", "_h").distinct()
@@ -394,7 +392,9 @@ def residue_evidence(documents: DataFrame, key: str = "doc_id", text: str = "tex
     units = told.join(repeated, "template", "left").where("lone or basis is not null").select("_k", "kind", F.coalesce("basis", F.lit("lone")).alias("basis"))
     # slots
     places = found.where("kind in ('slot', 'weak', 'open')").withColumn("place", F.xxhash64("template", "before", "after"))
-    aligned = _aligned(texts, places.select("place", "_h", "before", "after").distinct(), min_support)
+    # marks in running text are insertions; in a form of its own, and for what has no marks, other fillings are looked for too
+    fill = (F.col("kind") != "slot") | (F.col("template") != "")
+    aligned = _aligned(texts, places.select("place", "_h", "before", "after", fill.alias("fill")).distinct(), min_support)
     forms = places.where("kind = 'slot' and template <> ''").groupBy("template").agg(F.countDistinct("_h").alias("n"), F.countDistinct("value").alias("v"))
     forms = forms.where((F.col("n") >= min_support) & (F.col("v") > 1)).select("template", F.lit(True).alias("form"))
     names = places.where("kind = 'slot' and value <> ''").groupBy("value").agg(F.countDistinct("_h").alias("n")).where(F.col("n") >= min_support).select("value", F.lit(True).alias("name"))

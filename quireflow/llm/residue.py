@@ -394,18 +394,19 @@ def residue_evidence(documents: DataFrame, key: str = "doc_id", text: str = "tex
     places = found.where("kind in ('slot', 'weak', 'open')").withColumn("place", F.xxhash64("template", "before", "after"))
     # marks in running text are insertions; in a form of its own, and for what has no marks, other fillings are looked for too
     fill = (F.col("kind") != "slot") | (F.col("template") != "")
+    # parts are written one after the other: a single plan of them all would run every branch at once and fill the driver
     aligned = _aligned(texts, places.select("place", "_h", "before", "after", fill.alias("fill")).distinct(), min_support)
+    how = materialize(aligned.groupBy("place").agg(F.max(F.col("how") == "filled").alias("filled")))
     forms = places.where("kind = 'slot' and template <> ''").groupBy("template").agg(F.countDistinct("_h").alias("n"), F.countDistinct("value").alias("v"))
     forms = forms.where((F.col("n") >= min_support) & (F.col("v") > 1)).select("template", F.lit(True).alias("form"))
     names = places.where("kind = 'slot' and value <> ''").groupBy("value").agg(F.countDistinct("_h").alias("n")).where(F.col("n") >= min_support).select("value", F.lit(True).alias("name"))
-    how = aligned.groupBy("place").agg(F.max(F.col("how") == "filled").alias("filled"))
     p = places.join(how, "place", "left").join(forms, "template", "left").join(names, "value", "left")
     induced = F.when(F.col("kind") == "slot", F.col("filled").isNotNull() | F.col("form").isNotNull())
     induced = induced.when(F.col("kind") == "weak", F.coalesce("filled", F.lit(False)) | F.col("name").isNotNull()).otherwise(F.coalesce("filled", F.lit(False)))
-    taken = p.where(induced | F.col("lone")).select("_k", F.lit("slot").alias("kind"), F.when(induced, "slot").otherwise("lone").alias("basis"))
+    taken = materialize(p.where(induced | F.col("lone")).select("_k", F.lit("slot").alias("kind"), F.when(induced, "slot").otherwise("lone").alias("basis")))
     rest = found.where("kind in ('blank', 'filler')").select("_k", "kind", F.lit("lone").alias("basis"))
-    pages = _page_templates(texts, min_support).select("_k", F.lit("message").alias("kind"), F.lit("template").alias("basis"))
-    filler = _filler(texts, min_support).select("_k", F.lit("filler").alias("kind"), F.lit("filler").alias("basis"))
+    pages = materialize(_page_templates(texts, min_support).distinct()).select("_k", F.lit("message").alias("kind"), F.lit("template").alias("basis"))
+    filler = materialize(_filler(texts, min_support).distinct()).select("_k", F.lit("filler").alias("kind"), F.lit("filler").alias("basis"))
     out = units.unionByName(taken).unionByName(rest).unionByName(pages).unionByName(filler)
     return out.withColumnRenamed("_k", key).distinct()
 
